@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, simhash
+from . import exact_dedup, simhash, suffix_dedup
 from .common import table
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = suffix_dedup.remove_repeats(spark, table(spark, sf_dir, "documents"))
+    return d.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = simhash.near_dedup(spark, table(spark, sf_dir, "documents"))
     return d.select("doc_id", simhash.hex_of("fp").alias("fingerprint"), "component_id")
@@ -18,7 +23,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_simhash_near_dedup, op8_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op6_simhash_near_dedup, op8_exact_dedup)}
 
 ORACLE_SQL = {
     "op8_exact_dedup": r"""
