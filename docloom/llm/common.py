@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -76,6 +79,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_shipped: set[str] = set()
+
+
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow, after the executors were told where to find this package."""
+    sc = df.sparkSession.sparkContext
+    if sc.applicationId not in _shipped:
+        top = Path(__file__).resolve().parents[1]
+        to = os.path.join(tempfile.mkdtemp(prefix="docloom-"), f"{top.name}-{sc.applicationId}.zip")
+        with zipfile.ZipFile(to, "w") as z:
+            for f in sorted(top.rglob("*.py")):
+                z.write(f, f.relative_to(top.parent))
+        sc.addPyFile(to)
+        _shipped.add(sc.applicationId)
+    return df.mapInArrow(run, schema)
+
+
 def as_bytes(column) -> list[bytes]:
     """Texts of an Arrow column as UTF-8 bytes."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

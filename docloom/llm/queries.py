@@ -2,18 +2,31 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, simhash, suffix_dedup
+from . import exact_dedup, packing, pieces, simhash, suffix_dedup, toxicity
 from .common import table
 
+#: Vocabulary of op1, op3 and op7.
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = pieces.encode_decode(table(spark, sf_dir, "documents"), PIECES)
+    return d.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(pieces.ids_text(F.col("ids")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = suffix_dedup.remove_repeats(spark, table(spark, sf_dir, "documents"))
     return d.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit(spark, table(spark, sf_dir, "documents"), PIECES)
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = simhash.near_dedup(spark, table(spark, sf_dir, "documents"))
     return d.select("doc_id", simhash.hex_of("fp").alias("fingerprint"), "component_id")
@@ -23,7 +36,12 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op6_simhash_near_dedup, op8_exact_dedup)}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = toxicity.classify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return d.select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_suffix_dedup, op3_best_fit_packing, op6_simhash_near_dedup, op8_exact_dedup, op9_toxicity)}
 
 ORACLE_SQL = {
     "op8_exact_dedup": r"""

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Staged, as_bytes, id_and_text
+from .common import Staged, as_bytes, id_and_text, map_arrow
 from .components import connected_components
 
 SEED = 42
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_c
             fps = [fingerprint(t, width) for t in as_bytes(b.column(1))]
             yield pa.record_batch([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    return map_arrow(id_and_text(docs, id_col, text_col), run, "doc_id long, fp long")
 
 
 def _bounds(blocks: int) -> list[tuple[int, int]]:
@@ -194,7 +194,7 @@ def hamming_links(spark: SparkSession, distinct: DataFrame, radius: int = 4, til
         if u_all:
             yield flush()
 
-    return dealt.repartition("b", "k", "p", "q").sortWithinPartitions("b", "k", "p", "q").select("fp", "b", "k", "p", "q").mapInArrow(run, "u long, v long")
+    return map_arrow(dealt.repartition("b", "k", "p", "q").sortWithinPartitions("b", "k", "p", "q").select("fp", "b", "k", "p", "q"), run, "u long, v long")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, radius: int = 4, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

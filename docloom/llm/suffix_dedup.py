@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Staged, as_bytes, id_and_text
+from .common import Staged, as_bytes, id_and_text, map_arrow
 from .suffix_sort import suffix_array
 
 _BLOCK = 1 << 20
@@ -198,7 +198,7 @@ def _anchors(rows: DataFrame, length: int, k: int) -> DataFrame:
                 at = np.repeat(np.arange(len(counts)), counts)
                 yield pa.record_batch([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(np.concatenate(cols[0])), pa.array(np.concatenate(cols[1]), pa.int32()), pa.array(np.concatenate(cols[2]), pa.int32()), pa.array(h, pa.int64()), pa.array(g, pa.int64())], ["doc_id", "t", "pos", "far", "near", "h", "g"])
 
-    return rows.mapInArrow(run, "doc_id long, t long, pos long, far int, near int, h long, g long")
+    return map_arrow(rows, run, "doc_id long, t long, pos long, far int, near int, h long, g long")
 
 
 def _segments(wanted: DataFrame, length: int) -> DataFrame:
@@ -223,7 +223,7 @@ def _segments(wanted: DataFrame, length: int) -> DataFrame:
             if parts:
                 yield pa.record_batch([each.slice(start).field(n) for n in names] + [pa.array(parts, pa.binary())], [*names, "seg"])
 
-    return wanted.mapInArrow(run, "h long, g long, n long, far int, near int, seg binary")
+    return map_arrow(wanted, run, "h long, g long, n long, far int, near int, seg binary")
 
 
 def _sorted_groups(rows: DataFrame, length: int) -> DataFrame:
@@ -255,7 +255,7 @@ def _sorted_groups(rows: DataFrame, length: int) -> DataFrame:
         if out[0]:
             yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32())], ["h", "g", "a", "b"])
 
-    return rows.mapInArrow(run, "h long, g long, a int, b int")
+    return map_arrow(rows, run, "h long, g long, a int, b int")
 
 
 def _windows(rows: DataFrame, length: int) -> DataFrame:
@@ -282,7 +282,7 @@ def _windows(rows: DataFrame, length: int) -> DataFrame:
             if h:
                 yield made()
 
-    return rows.mapInArrow(run, "h long, g long, n long, d int, w binary")
+    return map_arrow(rows, run, "h long, g long, n long, d int, w binary")
 
 
 def repeated_spans(spark: SparkSession, rows: DataFrame, length: int = 400, k: int = 64, most: int = 1024) -> DataFrame:
@@ -348,7 +348,7 @@ def _cut(rows: DataFrame, length: int) -> DataFrame:
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.record_batch([b.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(texts, pa.binary()), pa.array(where, kind)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans"])
 
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:long,end:long>>")
+    return map_arrow(rows, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:long,end:long>>")
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 400, k: int = 64, most: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -383,7 +383,7 @@ def cut_texts(spark: SparkSession, docs: DataFrame, length: int = 400, id_col: s
             cols[at] = pa.array(texts, cols[at].type)
             yield pa.record_batch(cols, names=[f.name for f in schema])
 
-    out = both.mapInArrow(run, schema)
+    out = map_arrow(both, run, schema)
     if size_col in docs.columns:
         out = out.withColumn(size_col, F.char_length(text_col).cast(schema[size_col].dataType))
     return out
