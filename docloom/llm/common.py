@@ -82,17 +82,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _shipped: set[str] = set()
 
 
+def ship(spark: SparkSession) -> None:
+    """Tells the executors where to find this package."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    top = Path(__file__).resolve().parents[1]
+    to = os.path.join(tempfile.mkdtemp(prefix="docloom-"), f"{top.name}-{sc.applicationId}.zip")
+    with zipfile.ZipFile(to, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    sc.addPyFile(to)
+    _shipped.add(sc.applicationId)
+
+
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """df.mapInArrow, after the executors were told where to find this package."""
-    sc = df.sparkSession.sparkContext
-    if sc.applicationId not in _shipped:
-        top = Path(__file__).resolve().parents[1]
-        to = os.path.join(tempfile.mkdtemp(prefix="docloom-"), f"{top.name}-{sc.applicationId}.zip")
-        with zipfile.ZipFile(to, "w") as z:
-            for f in sorted(top.rglob("*.py")):
-                z.write(f, f.relative_to(top.parent))
-        sc.addPyFile(to)
-        _shipped.add(sc.applicationId)
+    """df.mapInArrow by a function of this package."""
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

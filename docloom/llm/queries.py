@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, pieces, simhash, suffix_dedup, toxicity
+from . import exact_dedup, licences, nearest, packing, pieces, quality, simhash, suffix_dedup, token_counts, toxicity
 from .common import table
 
 #: Vocabulary of op1, op3 and op7.
@@ -27,11 +27,23 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(spark, table(spark, sf_dir, "documents"), PIECES)
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(spark, table(spark, sf_dir, "embeddings"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = simhash.near_dedup(spark, table(spark, sf_dir, "documents"))
     return d.select("doc_id", simhash.hex_of("fp").alias("fingerprint"), "component_id")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), PIECES)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(spark, table(spark, sf_dir, "documents"))
 
@@ -41,7 +53,18 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_suffix_dedup, op3_best_fit_packing, op6_simhash_near_dedup, op8_exact_dedup, op9_toxicity)}
+def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = licences.scan_licences(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", *licences.summary(F.col("matches")))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_sentencepiece, op2_suffix_dedup, op3_best_fit_packing, op4_nearest_neighbours, op5_quality,
+        op6_simhash_near_dedup, op7_token_counts, op8_exact_dedup, op9_toxicity, op10_licence_scan,
+    )
+}
 
 ORACLE_SQL = {
     "op8_exact_dedup": r"""
