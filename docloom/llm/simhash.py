@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Staged, as_bytes, id_and_text, map_arrow
+from .common import TEXTS, Staged, as_bytes, id_and_text, map_arrow
 from .components import connected_components
 
 SEED = 42
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_c
             fps = [fingerprint(t, width) for t in as_bytes(b.column(1))]
             yield pa.record_batch([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
-    return map_arrow(id_and_text(docs, id_col, text_col), run, "doc_id long, fp long")
+    return map_arrow(id_and_text(docs, id_col, text_col), run, "doc_id long, fp long", TEXTS)
 
 
 def _bounds(blocks: int) -> list[tuple[int, int]]:
@@ -102,7 +102,8 @@ def _links(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _group_links(key: np.ndarray, fps: np.ndarray, radius: int, small: int = 48) -> tuple[np.ndarray, np.ndarray]:
-    """key is sorted; rows of small groups are compared side by side, large groups one at a time."""
+    """key is sorted; rows of small groups are compared side by side, large groups one at a time. fps and the links
+    are unsigned, as counting the bits of a signed number counts those of its magnitude."""
     starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     sizes = np.diff(np.concatenate((starts, [len(key)])))
     us, vs = [], []
@@ -167,12 +168,12 @@ def hamming_links(spark: SparkSession, distinct: DataFrame, radius: int = 4, til
 
         def flush() -> pa.RecordBatch:
             u, v = _forest(np.concatenate(u_all), np.concatenate(v_all))
-            return pa.record_batch([pa.array(u), pa.array(v)], ["u", "v"])
+            return pa.record_batch([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
         def found(k: np.ndarray, f: np.ndarray) -> int:
             if len(f):
                 group = np.cumsum(np.concatenate(([False], (k[1:] != k[:-1]).any(axis=1))))
-                u, v = _group_links(group, f, radius)
+                u, v = _group_links(group, f.view(np.uint64), radius)
                 u_all.append(u)
                 v_all.append(v)
                 return len(u)
