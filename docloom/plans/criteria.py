@@ -319,10 +319,8 @@ def _number_of(f: Field) -> Column | None:
 def _ordered_variant(f: Field, test, bound: Any) -> Column:
     n = _as_number(bound)
     if isinstance(bound, str):
-        text = F.when(f.shape == "STRING", test(f.text(), F.lit(bound)))
-        if n is None:
-            return text
-        return F.when(f.shape == "STRING", test(f.text(), F.lit(bound))).otherwise(_variant_number(f, test, n))
+        text = F.when(f.is_string(), test(f.text(), F.lit(bound)))
+        return text if n is None else text.otherwise(_variant_number(f, test, n))
     if n is None:
         return F.lit(False)
     return _variant_number(f, test, n)

@@ -103,7 +103,7 @@ class Schema:
         value = typed_value(f, self.fields[f.path].type)
         if isinstance(custom, PythonRule):
             def said(v):
-                r = custom.check(v)
+                r = None if v is None else custom.check(v)
                 return r if isinstance(r, str) else (told or "Failed custom validation") if r is False else None
 
             text = F.udf(said, "string")(value)
