@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 
 from ..errors import DocumentError
 from ..functions import ids
-from ..functions.fields import DOC
+from ..functions.fields import DOC, field
 from ..plans import criteria as C
 from ..plans import update as U
 from ..plans.query import Query
-from ..plans.schema import Schema
+from ..plans.schema import Schema, typed_value
 from ..sources import documents as D
 from ..sources.store import Manifest, Store, positions
 from . import indexes as X
@@ -109,7 +109,7 @@ class Collection:
             batch = batch.join(given, "_ord", "left").withColumn("_id", F.coalesce("_id", "_new")).drop("_new")
         else:
             default = self.schema.fields["_id"].default
-            made = default(lambda path: F.col("_id")) if callable(default) else F.lit(default)
+            made = default(lambda path: typed_value(field(batch.schema, path), self.schema.fields[path].type if path in self.schema.fields else "")) if callable(default) else F.lit(default)
             batch = batch.withColumn("_id", F.coalesce("_id", made.cast("string")))
         part = self._append(batch, lambda df, start: df.withColumn("_pos", F.lit(start) + F.col("_ord")))
         out = D.to_values(self.spark.read.schema("_id string, _pos long, doc variant").parquet(part).orderBy("_pos"))
