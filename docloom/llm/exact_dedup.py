@@ -33,7 +33,10 @@ class DigestIndex:
     The files at `path` outlive the session; opening the same path again goes on with them.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 32):
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        """buckets: fixed when the index is first written, the session's shuffle partitions by default, which spares
+        the anti-join a shuffle of either side; an index with another number must be opened with it."""
+        buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.spark, self.path, self.buckets = spark, path, buckets
         self.name = f"digest_index_{abs(hash(path)):x}"
         if not spark.catalog.tableExists(self.name):
@@ -64,7 +67,7 @@ class DigestIndex:
         )
 
 
-def exact_dedup(spark: SparkSession, docs: DataFrame, index_path: str | None = None, buckets: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(spark: SparkSession, docs: DataFrame, index_path: str | None = None, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Decisions for every row of docs, by an index at index_path (a new one, if None)."""
     return DigestIndex(spark, index_path or scratch_path(spark, "digest-index"), buckets).dedup(docs, id_col, text_col)
 

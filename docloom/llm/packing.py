@@ -95,7 +95,7 @@ def best_fit(spark: SparkSession, docs: DataFrame, model_path: str, capacity: in
     kept = Staged(spark)
     sized = kept.put(count_ids(rows, model_path), "pack-sizes")
     packs = max(1, -(-sized.count() // pack))
-    dealt = sized.withColumn("pack", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(packs))).repartition(packs, "pack").sortWithinPartitions("pack", "doc_id", "cluster")
+    dealt = sized.withColumn("pack", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(packs))).repartition("pack").sortWithinPartitions("pack", "doc_id", "cluster")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
