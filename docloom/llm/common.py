@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
+#: Texts in a batch.
+TEXTS = 1000
 _roots: dict[str, tuple] = {}
 
 
@@ -82,9 +84,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _shipped: set[str] = set()
 
 
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Tells the executors where to find this package."""
+    """Tells the executors where to find this package, and Spark to send them fewer rows at once, unless a number was
+    set: rows here hold whole texts."""
     sc = spark.sparkContext
+    if spark.conf.get(_ROWS) == "10000":
+        spark.conf.set(_ROWS, str(TEXTS))
     if sc.applicationId in _shipped:
         return
     top = Path(__file__).resolve().parents[1]
@@ -96,10 +104,15 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
-def map_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """df.mapInArrow by a function of this package."""
+def map_arrow(df: DataFrame, run, schema, rows: int | None = None) -> DataFrame:
+    """df.mapInArrow by a function of this package; with `rows`, it gets batches of so many rows at most, which bounds
+    what a worker holds of long texts."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def cut(batches):
+        return run(b.slice(i, rows) for b in batches for i in range(0, max(1, b.num_rows), rows))
+
+    return df.mapInArrow(run if rows is None else cut, schema)
 
 
 def as_bytes(column) -> list[bytes]:

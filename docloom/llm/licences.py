@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, map_arrow
+from .common import TEXTS, id_and_text, map_arrow
 from .licence_texts import TEMPLATES
 
 _words = re.compile(r"[^\W_]+").findall
@@ -134,7 +134,7 @@ def scan_licences(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
                 out.append([{"licence": n, "dice": d, "start": a, "end": e, "words": " ".join(words[a:e])} for n, d, a, e in found])
             yield pa.record_batch([b.column(0), pa.array(out, kind)], ["doc_id", "matches"])
 
-    return map_arrow(id_and_text(docs, id_col, text_col), run, "doc_id long, matches array<struct<licence:string,dice:double,start:int,end:int,words:string>>")
+    return map_arrow(id_and_text(docs, id_col, text_col), run, "doc_id long, matches array<struct<licence:string,dice:double,start:int,end:int,words:string>>", TEXTS)
 
 
 def summary(matches):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, list_column, map_arrow
+from .common import TEXTS, id_and_text, list_column, map_arrow
 
 MARK = "▁"
 _chunks = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
@@ -57,7 +57,7 @@ class _Numbers(dict):
 class ChunkTable:
     """Distinct chunks with their ids and decoded strings."""
 
-    def __init__(self, model: bytes, most: int = 600_000):
+    def __init__(self, model: bytes, most: int = 400_000):
         import sentencepiece
 
         self.lib = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -160,7 +160,7 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
                 ids = list_column(ends.astype(np.int32), pa.array(flat, pa.int32()))
                 yield pa.record_batch([b.column(0).slice(lo, hi - lo), ids, pa.array([table.decode(w) for w in words], pa.string())], ["doc_id", "ids", "decoded"])
 
-    return map_arrow(id_and_text(docs, id_col, text_col), run, "doc_id long, ids array<int>, decoded string")
+    return map_arrow(id_and_text(docs, id_col, text_col), run, "doc_id long, ids array<int>, decoded string", TEXTS)
 
 
 def count_ids(rows: DataFrame, model_path: str, text_col: str = "text", out: str = "n_tokens") -> DataFrame:
@@ -179,7 +179,7 @@ def count_ids(rows: DataFrame, model_path: str, text_col: str = "text", out: str
             cols[at] = pa.array(np.concatenate(counts) if counts else np.zeros(0, np.int64), pa.int64())
             yield pa.record_batch(cols, names)
 
-    return map_arrow(rows, run, schema)
+    return map_arrow(rows, run, schema, TEXTS)
 
 
 def ids_text(ids):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_and_text, map_arrow
+from .common import TEXTS, id_and_text, map_arrow
 from .labels import remainder, training_rows
 from .pieces import blocks
 
@@ -102,7 +102,7 @@ class QualityModel:
 class Scorer:
     """Scores texts, with a bounded table of the words met."""
 
-    def __init__(self, model: QualityModel, most: int = 500_000):
+    def __init__(self, model: QualityModel, most: int = 400_000):
         self.model, self.most = model, most
         self.clear()
 
@@ -194,7 +194,7 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
             p = [x for lo, hi in blocks(texts) for x in scorer(texts[lo:hi])]
             yield pa.record_batch([b.column(0), pa.array(p, pa.float64()), pa.array([int(x >= 0.5) for x in p], pa.int32())], ["doc_id", "score", "predicted"])
 
-    return map_arrow(docs, run, "doc_id long, score double, predicted int")
+    return map_arrow(docs, run, "doc_id long, score double, predicted int", TEXTS)
 
 
 def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held: int = HELD, **how) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Staged, as_bytes, id_and_text, map_arrow
+from .common import TEXTS, Staged, as_bytes, id_and_text, map_arrow
 from .suffix_sort import suffix_array
 
 _BLOCK = 1 << 20
@@ -198,7 +198,7 @@ def _anchors(rows: DataFrame, length: int, k: int) -> DataFrame:
                 at = np.repeat(np.arange(len(counts)), counts)
                 yield pa.record_batch([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(np.concatenate(cols[0])), pa.array(np.concatenate(cols[1]), pa.int32()), pa.array(np.concatenate(cols[2]), pa.int32()), pa.array(h, pa.int64()), pa.array(g, pa.int64())], ["doc_id", "t", "pos", "far", "near", "h", "g"])
 
-    return map_arrow(rows, run, "doc_id long, t long, pos long, far int, near int, h long, g long")
+    return map_arrow(rows, run, "doc_id long, t long, pos long, far int, near int, h long, g long", TEXTS)
 
 
 def _segments(wanted: DataFrame, length: int) -> DataFrame:
@@ -285,7 +285,7 @@ def _windows(rows: DataFrame, length: int) -> DataFrame:
     return map_arrow(rows, run, "h long, g long, n long, d int, w binary")
 
 
-def repeated_spans(spark: SparkSession, rows: DataFrame, length: int = 400, k: int = 64, most: int = 1024) -> DataFrame:
+def repeated_spans(spark: SparkSession, rows: DataFrame, length: int = 400, k: int = 64, most: int = 512) -> DataFrame:
     """rows: (doc_id, t, text). (doc_id, t, starts), starts being the list of ranges of window starts that are repeated."""
     kept = Staged(spark)
     found = kept.put(_anchors(rows, length, k), "suffix-anchors")
@@ -348,10 +348,10 @@ def _cut(rows: DataFrame, length: int) -> DataFrame:
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.record_batch([b.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(texts, pa.binary()), pa.array(where, kind)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans"])
 
-    return map_arrow(rows, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:long,end:long>>")
+    return map_arrow(rows, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:long,end:long>>", TEXTS)
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 400, k: int = 64, most: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 400, k: int = 64, most: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (bytes), spans (byte ranges removed), one row for each row of docs."""
     rows = id_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("t"), "text")
     spans = repeated_spans(spark, rows, length, k, most).select(F.col("doc_id").alias("sid"), F.col("t").alias("st"), "starts")
@@ -383,7 +383,7 @@ def cut_texts(spark: SparkSession, docs: DataFrame, length: int = 400, id_col: s
             cols[at] = pa.array(texts, cols[at].type)
             yield pa.record_batch(cols, names=[f.name for f in schema])
 
-    out = map_arrow(both, run, schema)
+    out = map_arrow(both, run, schema, TEXTS)
     if size_col in docs.columns:
         out = out.withColumn(size_col, F.char_length(text_col).cast(schema[size_col].dataType))
     return out

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_and_text, map_arrow
+from .common import TEXTS, id_and_text, map_arrow
 from .pieces import MARK, marked_words, read_model
 
 #: Taken off the least score for a character without a piece.
@@ -124,4 +124,4 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
                 n.append(trie.count(words))
             yield pa.record_batch([b.column(0), pa.array(np.array(pre, np.int64)), pa.array(np.array(n, np.int64))], ["doc_id", "n_pretokens", "n_tokens"])
 
-    return map_arrow(id_and_text(docs, id_col, text_col), run, "doc_id long, n_pretokens long, n_tokens long")
+    return map_arrow(id_and_text(docs, id_col, text_col), run, "doc_id long, n_pretokens long, n_tokens long", TEXTS)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Staged, id_and_text, map_arrow
+from .common import TEXTS, Staged, id_and_text, map_arrow
 from .labels import remainder, training_rows
 
 FOLDS, HELD = 5, 0
@@ -153,7 +153,7 @@ def _counts(rows: DataFrame) -> DataFrame:
         words = list(counts[0].keys() | counts[1].keys())
         return pa.record_batch([pa.array(words, pa.string()), pa.array([counts[1][w] for w in words], pa.int64()), pa.array([counts[0][w] for w in words], pa.int64())], ["word", "toxic", "clean"])
 
-    return map_arrow(rows.select("text", "y"), run, "word string, toxic long, clean long")
+    return map_arrow(rows.select("text", "y"), run, "word string, toxic long, clean long", TEXTS)
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int = FOLDS, held: int = HELD, bound: int = 20_000, prior: float = 0.1, least_z: float = 3.0, drift: float = 0.5) -> ToxicityModel:
@@ -180,7 +180,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, label_col: str
             w = [model.scores(t)[1] for t in b.column(0).to_pylist()]
             yield pa.record_batch([pa.array([best_score(x) for x in w], pa.float64()), pa.array([len(x) for x in w], pa.int64()), b.column(1)], ["s", "n", "y"])
 
-    seen = map_arrow(rows.select("text", "y"), run, "s double, n long, y int").toPandas()
+    seen = map_arrow(rows.select("text", "y"), run, "s double, n long, y int", TEXTS).toPandas()
     x = model.scale * seen["s"].to_numpy() - np.log(np.maximum(seen["n"].to_numpy(), 1))
     y = seen["y"].to_numpy()
     clean = x[y == 0]
@@ -191,7 +191,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, label_col: str
         for b in batches:
             yield pa.record_batch([pa.array([model.statistic(model.scores(t)[1])[0] for t in b.column(0).to_pylist()], pa.float64()), b.column(1)], ["x", "y"])
 
-    seen = map_arrow(rows.select("text", "y"), again, "x double, y int").toPandas().sort_values(["x", "y"])
+    seen = map_arrow(rows.select("text", "y"), again, "x double, y int", TEXTS).toPandas().sort_values(["x", "y"])
     model.slope, model.offset = logistic(np.clip(seen["x"].to_numpy(), -20, 40), seen["y"].to_numpy().astype(float))
     model.fitted = True
     return model
@@ -212,7 +212,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
                 found.append([{"start": a, "end": e, "score": s, "words": " ".join(words[a:e])} for a, e, s in segments])
             yield pa.record_batch([b.column(0), pa.array(p, pa.float64()), pa.array([int(x >= 0.5) for x in p], pa.int32()), pa.array(n, pa.int64()), pa.array(found, kind)], ["doc_id", "score", "predicted", "n_words", "passages"])
 
-    return map_arrow(docs, run, "doc_id long, score double, predicted int, n_words long, passages array<struct<start:int,end:int,score:double,words:string>>")
+    return map_arrow(docs, run, "doc_id long, score double, predicted int, n_words long, passages array<struct<start:int,end:int,score:double,words:string>>", TEXTS)
 
 
 def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held: int = HELD, **how) -> DataFrame:
@@ -235,4 +235,4 @@ def keep_clean(spark: SparkSession, docs: DataFrame, labels: DataFrame, text_col
                 keep.append(not (model.fitted and len(w)) or model.probability(model.statistic(w)[0]) < 0.5)
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return map_arrow(docs, run, schema)
+    return map_arrow(docs, run, schema, TEXTS)
