@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import TEXTS, Staged, as_bytes, id_and_text, map_arrow
@@ -309,7 +309,9 @@ def repeated_spans(spark: SparkSession, rows: DataFrame, length: int = 400, k: i
         sorts = segments.join(large, "h", "left_anti")
         windows = kept.put(_windows(segments.join(large, "h").dropDuplicates(["h", "g"]).select("h", "g", "n", "far", "near", "seg"), length), "suffix-windows")
         often = kept.put(windows.groupBy("h", "d", "w").agg(F.sum("n").alias("s")).where("s > 1").select("h", "d", "w"), "suffix-often")
-        answers = windows.join(often, ["h", "d", "w"]).select("h", "g", F.col("d").alias("a"), F.col("d").alias("b"))
+        apart = F.col("d") - F.row_number().over(Window.partitionBy("h", "g").orderBy("d"))  # at most a segment's windows
+        hits = windows.join(often, ["h", "d", "w"]).select("h", "g", "d", apart.alias("run"))
+        answers = hits.groupBy("h", "g", "run").agg(F.max("d").alias("a"), F.min("d").alias("b")).drop("run")
     ordered = sorts.repartition("h").sortWithinPartitions("h", "g").select("h", "g", "n", "far", "near", "seg")
     said = _sorted_groups(ordered, length)
     said = kept.put(said if answers is None else said.unionByName(answers), "suffix-answers")
