@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TEXTS, id_and_text, map_arrow
+from .common import TEXTS, Staged, id_and_text, map_arrow
 from .labels import remainder, training_rows
 from .pieces import blocks
 
@@ -175,9 +175,9 @@ def train(docs: list[np.ndarray], words: list[str], y: np.ndarray, buckets: int,
     return QualityModel(buckets, vectors @ w, float(bias[1] - bias[0]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = FOLDS, held: int = HELD, bound: int = 4000, buckets: int = 1 << 17, **how) -> QualityModel:
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = FOLDS, held: int = HELD, bound: int = 4000, buckets: int = 1 << 17, **how) -> QualityModel:
     """docs: (doc_id, text). The sample comes to the driver one partition at a time."""
-    rows = training_rows(docs, labels, label_col, folds, held, bound)
+    rows = Staged(spark).put(training_rows(docs, labels, label_col, folds, held, bound), "quality-rows")
     numbers = _Numbers()
     seen = [(r["doc_id"], r["y"], word_codes(r["text"], numbers)) for r in rows.toLocalIterator()]
     seen.sort(key=lambda r: r[0])
@@ -200,5 +200,5 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
 def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held: int = HELD, **how) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
     d = id_and_text(docs)
-    out = score(d, fit(d, labels, folds=folds, held=held, **how))
+    out = score(d, fit(spark, d, labels, folds=folds, held=held, **how))
     return out.withColumn("held_out", F.coalesce(remainder("doc_id", folds) == held, F.lit(False))).select("doc_id", "held_out", "score", "predicted")
