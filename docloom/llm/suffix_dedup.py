@@ -9,7 +9,8 @@
    them around the k-gram, and the suffix array of the distinct strings (suffix_sort) decides: of the windows that
    begin in an anchor's run, neighbours in suffix order that agree on `length` bytes are repeated.
 4. A k-gram with more than `most` distinct segments (an edge of a passage that very many texts quote) is not brought
-   into one task: its windows are dealt by their 128-bit hash and counted, which is exact and splits.
+   into one task: its segments are dealt into blocks, each decided as above, and windows that are single in their block
+   are looked up among those of the other blocks by a 128-bit hash.
 5. Repeated windows go back to all occurrences, and each text drops the union of their bytes.
 
 Matches never cross documents. Judged on the input; overlaps count. Defined results: null text is empty; a text under
@@ -226,63 +227,70 @@ def _segments(wanted: DataFrame, length: int) -> DataFrame:
     return map_arrow(wanted, run, "h long, g long, n long, far int, near int, seg binary")
 
 
-def _sorted_groups(rows: DataFrame, length: int) -> DataFrame:
-    """rows: (h, g, n, far, near, seg), together and sorted by h."""
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int], list[tuple[bytes, int, int, int]]]]:
+    """(h, keys, segments) for each group of rows (h, part, g, n, far, near, seg), which come sorted by h, part and g."""
+    now, keys, group = None, [], []
+    for b in batches:
+        for h, part, g, n, far, near, seg in zip(*(b.column(i).to_pylist() for i in range(7))):
+            if (h, part) != now:
+                if keys:
+                    yield now[0], keys, group
+                now, keys, group = (h, part), [], []
+            if not keys or keys[-1] != g or group[-1][:3] != (seg, far, near):
+                keys.append(g)
+                group.append((seg, far, near, n))
+    if keys:
+        yield now[0], keys, group
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, keys, group = None, [], []
-        out: tuple[list, list, list, list] = ([], [], [], [])
 
-        def close() -> None:
-            if len(group) > 1 or group and group[0][3] > 1:
-                for g, ranges in zip(keys, repeated_starts(group, length)):
-                    for far, near in ranges:
-                        for c, x in zip(out, (now, g, far, near)):
-                            c.append(x)
+_ROWS = 1 << 16
 
-        for b in batches:
-            for h, g, n, far, near, seg in zip(*(b.column(i).to_pylist() for i in range(6))):
-                if h != now:
-                    close()
-                    now, keys, group = h, [], []
-                if not keys or keys[-1] != g or group[-1][:3] != (seg, far, near):
-                    keys.append(g)
-                    group.append((seg, far, near, n))
-            if out[0]:
-                yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32())], ["h", "g", "a", "b"])
-                out = ([], [], [], [])
-        close()
-        if out[0]:
-            yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32())], ["h", "g", "a", "b"])
+
+def _sorted_groups(rows: DataFrame, length: int) -> DataFrame:
+    """Repeated windows of every group, by its suffix array."""
+    kinds = {"h": pa.int64(), "g": pa.int64(), "a": pa.int32(), "b": pa.int32()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for h, keys, group in _grouped(batches):
+            if len(group) > 1 or group[0][3] > 1:
+                out += [(h, g, *r) for g, ranges in zip(keys, repeated_starts(group, length)) for r in ranges]
+            if len(out) > _ROWS:
+                yield columns(out, kinds)
+                out = []
+        if out:
+            yield columns(out, kinds)
 
     return map_arrow(rows, run, "h long, g long, a int, b int")
 
 
 def _windows(rows: DataFrame, length: int) -> DataFrame:
-    """Every window of the given segments with its 128-bit hash."""
+    """The different windows of every group with their 128-bit hash, and whether the group holds them once."""
+    kinds = {"h": pa.int64(), "g": pa.int64(), "d": pa.int32(), "w": pa.binary(), "once": pa.bool_()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
-        for b in batches:
-            h, g, n, d, w = [], [], [], [], []
+        out: list[tuple] = []
+        for h, keys, group in _grouped(batches):
+            seen: dict[tuple[int, bytes], int] = {}
+            twice = set()
+            for g, (seg, far, near, n) in zip(keys, group):
+                for o in range(far - near + 1):
+                    key = (far - o, digest(seg[o : o + length]))
+                    if seen.setdefault(key, g) != g or n > 1:
+                        twice.add(key)
+            out += [(h, g, *key, key not in twice) for key, g in seen.items()]
+            if len(out) > _ROWS:
+                yield columns(out, kinds)
+                out = []
+        if out:
+            yield columns(out, kinds)
 
-            def made() -> pa.RecordBatch:
-                return pa.record_batch([pa.array(h, pa.int64()), pa.array(g, pa.int64()), pa.array(n, pa.int64()), pa.array(d, pa.int32()), pa.array(w, pa.binary())], ["h", "g", "n", "d", "w"])
+    return map_arrow(rows, run, "h long, g long, d int, w binary, once boolean")
 
-            for i, j, m, far, near, seg in zip(*(b.column(i).to_pylist() for i in range(6))):
-                for o in range(far - near + 1):
-                    h.append(i)
-                    g.append(j)
-                    n.append(m)
-                    d.append(far - o)
-                    w.append(digest(seg[o : o + length]))
-                if len(h) > 1 << 16:
-                    yield made()
-                    h, g, n, d, w = [], [], [], [], []
-            if h:
-                yield made()
 
-    return map_arrow(rows, run, "h long, g long, n long, d int, w binary")
+def columns(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds.values())], list(kinds))
 
 
 def repeated_spans(spark: SparkSession, rows: DataFrame, length: int = 400, k: int = 64, most: int = 512) -> DataFrame:
@@ -301,20 +309,20 @@ def repeated_spans(spark: SparkSession, rows: DataFrame, length: int = 400, k: i
     listed = listed.select(F.col("doc_id").alias("rid"), F.col("t").alias("rt"), "at")
     wanted = rows.join(listed, rows["doc_id"].eqNullSafe(listed["rid"]) & (rows["t"] == listed["rt"])).select("text", "at")
     segments = kept.put(_segments(wanted, length), "suffix-segments")
-    large = kept.put(reps.groupBy("h").count().where(F.col("count") > most).select("h"), "suffix-large")
-    if large.isEmpty():
-        sorts = segments
-        answers = None
-    else:
-        sorts = segments.join(large, "h", "left_anti")
-        windows = kept.put(_windows(segments.join(large, "h").dropDuplicates(["h", "g"]).select("h", "g", "n", "far", "near", "seg"), length), "suffix-windows")
-        often = kept.put(windows.groupBy("h", "d", "w").agg(F.sum("n").alias("s")).where("s > 1").select("h", "d", "w"), "suffix-often")
+    parts = F.ceil(F.col("count") / most).cast("int").alias("parts")
+    large = kept.put(reps.groupBy("h").count().where(F.col("count") > most).select("h", parts), "suffix-large")
+    wide = not large.isEmpty()
+    placed = segments.join(large, "h", "left") if wide else segments.withColumn("parts", F.lit(None).cast("int"))
+    placed = placed.withColumn("part", F.coalesce(F.pmod(F.xxhash64("g"), F.col("parts")).cast("int"), F.lit(0)))
+    together = lambda df: df.repartition("h", "part").sortWithinPartitions("h", "part", "g").select("h", "part", "g", "n", "far", "near", "seg")
+    said = _sorted_groups(together(placed), length)
+    if wide:
+        windows = kept.put(_windows(together(placed.where("parts is not null")), length), "suffix-windows")
+        often = kept.put(windows.groupBy("h", "d", "w").count().where("count > 1").select("h", "d", "w"), "suffix-often")
         apart = F.col("d") - F.row_number().over(Window.partitionBy("h", "g").orderBy("d"))  # at most a segment's windows
-        hits = windows.join(often, ["h", "d", "w"]).select("h", "g", "d", apart.alias("run"))
-        answers = hits.groupBy("h", "g", "run").agg(F.max("d").alias("a"), F.min("d").alias("b")).drop("run")
-    ordered = sorts.repartition("h").sortWithinPartitions("h", "g").select("h", "g", "n", "far", "near", "seg")
-    said = _sorted_groups(ordered, length)
-    said = kept.put(said if answers is None else said.unionByName(answers), "suffix-answers")
+        hits = windows.where("once").join(often, ["h", "d", "w"]).select("h", "g", "d", apart.alias("run"))
+        said = said.unionByName(hits.groupBy("h", "g", "run").agg(F.max("d").alias("a"), F.min("d").alias("b")).drop("run"))
+    said = kept.put(said, "suffix-answers")
     differ = mixed.join(said, ["h", "g"]).select("doc_id", "t", (F.col("pos") - F.col("a")).alias("lo"), (F.col("pos") - F.col("b")).alias("hi"))
     spans = alike.unionByName(differ).groupBy("doc_id", "t").agg(F.collect_set(F.struct("lo", "hi")).alias("starts"))
     return kept.put(spans, "suffix-spans")
