@@ -9,8 +9,9 @@
    them around the k-gram, and the suffix array of the distinct strings (suffix_sort) decides: of the windows that
    begin in an anchor's run, neighbours in suffix order that agree on `length` bytes are repeated.
 4. A k-gram with more than `most` distinct segments (an edge of a passage that very many texts quote) is not brought
-   into one task: its segments are dealt into blocks, each decided as above, and windows that are single in their block
-   are looked up among those of the other blocks by a 128-bit hash.
+   into one task: its segments are dealt into blocks, each decided as above. What else blocks share is found by 128-bit
+   hashes: first of the bytes that `_STEP` neighbouring windows have in common, and only where those recur in another
+   block, of the single windows.
 5. Repeated windows go back to all occurrences, and each text drops the union of their bytes.
 
 Matches never cross documents. Judged on the input; overlaps count. Defined results: null text is empty; a text under
@@ -264,21 +265,53 @@ def _sorted_groups(rows: DataFrame, length: int) -> DataFrame:
     return map_arrow(rows, run, "h long, g long, a int, b int")
 
 
+#: Neighbouring windows whose common bytes are compared first.
+_STEP = 16
+
+
+def _cores(rows: DataFrame, length: int) -> DataFrame:
+    """The bytes that each step of a segment's windows has in common, hashed; a step is the same distances from the
+    k-gram in every segment."""
+    kinds = {"h": pa.int64(), "part": pa.int32(), "g": pa.int64(), "step": pa.int32(), "core": pa.binary()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_128_digest
+        for b in batches:
+            out = []
+            for h, part, g, _, far, near, seg in zip(*(b.column(i).to_pylist() for i in range(7))):
+                for step in range(near // _STEP, far // _STEP + 1):
+                    lo = step * _STEP  # windows begin lo to lo + _STEP - 1 bytes before the k-gram
+                    out.append((h, part, g, step, digest(seg[far - lo : far - lo - _STEP + 1 + length])))
+            if out:
+                yield columns(out, kinds)
+
+    return map_arrow(rows, run, "h long, part int, g long, step int, core binary")
+
+
 def _windows(rows: DataFrame, length: int) -> DataFrame:
-    """The different windows of every group with their 128-bit hash, and whether the group holds them once."""
+    """rows: as of a group, and the steps that count. The different windows of every group in those steps with their
+    128-bit hash, and whether the group holds them once."""
     kinds = {"h": pa.int64(), "g": pa.int64(), "d": pa.int32(), "w": pa.binary(), "once": pa.bool_()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
+        steps: dict[tuple[int, int], list[int]] = {}
+
+        def noted() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                steps.update(zip(zip(b.column(0).to_pylist(), b.column(2).to_pylist()), b.column(7).to_pylist()))
+                yield b
+
         out: list[tuple] = []
-        for h, keys, group in _grouped(batches):
+        for h, keys, group in _grouped(noted()):
             seen: dict[tuple[int, bytes], int] = {}
             twice = set()
             for g, (seg, far, near, n) in zip(keys, group):
-                for o in range(far - near + 1):
-                    key = (far - o, digest(seg[o : o + length]))
-                    if seen.setdefault(key, g) != g or n > 1:
-                        twice.add(key)
+                for step in steps.pop((h, g)):
+                    for d in range(max(near, step * _STEP), min(far, step * _STEP + _STEP - 1) + 1):
+                        key = (d, digest(seg[far - d : far - d + length]))
+                        if seen.setdefault(key, g) != g or n > 1:
+                            twice.add(key)
             out += [(h, g, *key, key not in twice) for key, g in seen.items()]
             if len(out) > _ROWS:
                 yield columns(out, kinds)
@@ -317,7 +350,12 @@ def repeated_spans(spark: SparkSession, rows: DataFrame, length: int = 400, k: i
     together = lambda df: df.repartition("h", "part").sortWithinPartitions("h", "part", "g").select("h", "part", "g", "n", "far", "near", "seg")
     said = _sorted_groups(together(placed), length)
     if wide:
-        windows = kept.put(_windows(together(placed.where("parts is not null")), length), "suffix-windows")
+        hot = kept.put(placed.where("parts is not null").dropDuplicates(["h", "g"]).drop("parts"), "suffix-hot")
+        cores = kept.put(_cores(hot.select("h", "part", "g", "n", "far", "near", "seg"), length), "suffix-cores")
+        shared = cores.groupBy("h", "step", "core").agg(F.min("part").alias("p0"), F.max("part").alias("p1")).where("p0 <> p1")
+        steps = cores.join(shared.select("h", "step", "core"), ["h", "step", "core"], "left_semi").groupBy("h", "g").agg(F.collect_set("step").alias("steps"))
+        there = hot.join(steps, ["h", "g"]).repartition("h", "part").sortWithinPartitions("h", "part", "g")
+        windows = kept.put(_windows(there.select("h", "part", "g", "n", "far", "near", "seg", "steps"), length), "suffix-windows")
         often = kept.put(windows.groupBy("h", "d", "w").count().where("count > 1").select("h", "d", "w"), "suffix-often")
         apart = F.col("d") - F.row_number().over(Window.partitionBy("h", "g").orderBy("d"))  # at most a segment's windows
         hits = windows.where("once").join(often, ["h", "d", "w"]).select("h", "g", "d", apart.alias("run"))
