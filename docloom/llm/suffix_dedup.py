@@ -21,6 +21,7 @@ table gives an empty result. Texts of any length are read whole, in blocks that
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,7 @@ from .common import TEXTS, Staged, as_bytes, id_and_text, map_arrow
 from .suffix_sort import suffix_array
 
 _BLOCK = 1 << 20
+_WORD = re.compile(rb"\S+")
 _LOW = np.uint64(0xFFFFFFFF)
 _HIGH = ~_LOW
 
@@ -407,12 +409,29 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 400, k: i
     return _cut(both.select("doc_id", "text", "starts"), length)
 
 
-def cut_texts(spark: SparkSession, docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+def _word_hashes(rows: DataFrame) -> DataFrame:
+    """rows: (doc_id, t, text). Each text as the 8-byte hashes of its words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [b"".join(map(xxhash.xxh64_digest, t.split())) for t in as_bytes(b.column(2))]
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(texts, pa.binary())], ["doc_id", "t", "text"])
+
+    return map_arrow(rows, run, "doc_id long, t long, text binary", TEXTS)
+
+
+def cut_texts(spark: SparkSession, docs: DataFrame, length: int = 400, words: int | None = None, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
     """docs with the repeated bytes gone from its texts, all columns and rows otherwise as they were. What a cut leaves
-    of a character goes too. size_col, if there, is the text's new length in code points."""
+    of a character goes too. With `words`, so do strings of so many words (apart by any of [\\x20\\x09-\\x0D]) that also
+    start elsewhere, however short: a string of words is one of their hashes, eight bytes each. size_col, if there, is
+    the text's new length in code points."""
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
-    spans = repeated_spans(spark, rows, length).select(F.col("doc_id").alias("__sid"), F.col("t").alias("__st"), F.col("starts").alias("__starts"))
+    spans = repeated_spans(spark, rows, length).withColumn("by_word", F.lit(False))
+    if words:
+        spans = spans.unionByName(repeated_spans(spark, _word_hashes(rows), 8 * words).withColumn("by_word", F.lit(True)))
+    of = lambda by_word: F.first(F.when(F.col("by_word") == by_word, F.col("starts")), ignorenulls=True)
+    spans = spans.groupBy(F.col("doc_id").alias("__sid"), F.col("t").alias("__st")).agg(of(False).alias("__starts"), of(True).alias("__words"))
     both = docs.join(spans, docs[id_col].cast("long").eqNullSafe(spans["__sid"]) & (F.xxhash64(text) == spans["__st"]), "left")
     both = both.drop("__sid", "__st")
     at, last = docs.columns.index(text_col), len(docs.columns)
@@ -422,11 +441,14 @@ def cut_texts(spark: SparkSession, docs: DataFrame, length: int = 400, id_col: s
         for b in batches:
             cols = [b.column(i) for i in range(last)]
             texts = cols[at].to_pylist()
-            for i, ranges in enumerate(b.column(last)):
-                if ranges.is_valid and len(ranges):
+            for i, (ranges, worded) in enumerate(zip(b.column(last).to_pylist(), b.column(last + 1).to_pylist())):
+                if ranges or worded:
                     keep = np.ones(len(raw := texts[i].encode()), bool)
-                    for r in ranges.as_py():
+                    for r in ranges or ():
                         keep[r["lo"] : r["hi"] + length] = False
+                    place = [m.span() for m in _WORD.finditer(raw)] if worded else []
+                    for r in worded or ():
+                        keep[place[-(-r["lo"] // 8)][0] : place[r["hi"] // 8 + words - 1][1]] = False
                     texts[i] = np.frombuffer(raw, np.uint8)[keep].tobytes().decode("utf-8", "ignore")
             cols[at] = pa.array(texts, cols[at].type)
             yield pa.record_batch(cols, names=[f.name for f in schema])
