@@ -80,8 +80,8 @@ def keep_first(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
     twice = not decided.where("kept").groupBy("doc_id").agg(F.countDistinct("text_sha256").alias("n")).where("n > 1").isEmpty() or not same.isEmpty()
     if not twice:  # ids tell documents apart
         lost = decided.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-        also = decided.where("kept").select(F.col("doc_id").alias("__gone"))
-        if lost.join(also, "__gone").isEmpty():
+        also = decided.where("kept").select(F.col("doc_id").alias("__also"))
+        if lost.join(also, lost["__gone"].eqNullSafe(also["__also"])).isEmpty():
             return docs.join(lost, docs[id_col].eqNullSafe(lost["__gone"]), "left_anti")
     tagged = docs.withColumn("__sha", F.sha2(F.regexp_replace(text, BLANKS, ""), 256)).withColumn("__points", F.char_length(text))
     stay = decided.where("kept").select(F.col("doc_id").alias("__stay"), F.col("text_sha256").alias("__digest")).distinct()

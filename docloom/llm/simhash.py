@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import TEXTS, Staged, as_bytes, id_and_text, map_arrow
 from .components import connected_components
@@ -212,12 +213,23 @@ def near_dedup(spark: SparkSession, docs: DataFrame, radius: int = 4, width: int
     return rows.join(label, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_least(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs whose id is the smallest of its component; all columns as they were. Rows without an id stay
-    only where their component has none; rows that repeat an id stay together."""
-    decided = near_dedup(spark, docs, id_col=id_col, text_col=text_col, **how)
-    gone = Staged(spark).put(decided.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct(), "simhash-gone")
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]), "left_anti")
+def keep_least(spark: SparkSession, docs: DataFrame, radius: int = 4, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs whose id is the smallest of its component; all columns as they were. Each row is judged by its
+    own id and fingerprint. Rows without an id stay only where their component has none; rows that repeat an id in one
+    component stay together."""
+    decided = near_dedup(spark, docs, radius, width, id_col, text_col)
+    lost = decided.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    gone = Staged(spark).put(lost.select(F.col("doc_id").alias("__gone"), F.col("fp").alias("__of")).distinct(), "simhash-gone")
+    names, schema = [*docs.columns, "__fp"], StructType([*docs.schema, StructField("__fp", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = [fingerprint(t, width) for t in as_bytes(b.column(b.num_columns - 1))]
+            yield pa.record_batch([*b.columns[:-1], pa.array(fps, pa.int64())], names)
+
+    tagged = map_arrow(docs.withColumn("__text", F.coalesce(docs[text_col].cast("string"), F.lit(""))), run, schema, TEXTS)
+    same = tagged[id_col].cast("long").eqNullSafe(gone["__gone"]) & (tagged["__fp"] == gone["__of"])
+    return tagged.join(gone, same, "left_anti").drop("__fp")
 
 
 def hex_of(column):
