@@ -1,9 +1,9 @@
 """Licence scan: passages against templates by the Dice coefficient over word bigrams.
 
-Texts are normalised to their lower-case words. Passages are runs of words whose bigrams occur in templates, found in
-each line and across lines, so whole texts are scanned and a statement inside a long document counts. A passage of n
-bigrams can only reach a Dice coefficient d against templates of n * d / (2 - d) to n * (2 - d) / d bigrams; only
-those are compared, over multisets of bigrams.
+Texts are normalised to their lower-case words. Passages are ranges of words, within lines or across them, so whole
+texts are scanned and a statement inside a long document counts. A template of n bigrams can only reach a Dice
+coefficient d against passages of n * d / (2 - d) to n * (2 - d) / d bigrams; all such ranges that begin and end in a
+bigram of the template are compared, over multisets of bigrams, whatever stands between.
 
 Defined results: null and empty texts hold no licence; repeated rows give equal rows; an empty table gives an empty
 result. Of matches that overlap the highest coefficient stays, then the longer, then the first template.
@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
@@ -41,8 +40,8 @@ def dice(a: Counter, b: Counter) -> float:
 class Scanner:
     """Templates by size, with the words and bigrams that occur in them."""
 
-    def __init__(self, templates: list[tuple[str, str]], least: float = 0.8, gap: int = 4):
-        self.least, self.gap = least, gap
+    def __init__(self, templates: list[tuple[str, str]], least: float = 0.8):
+        self.least = least
         rows = [(name, normalised(text)) for name, text in templates]
         self.number = {w: i for i, w in enumerate(dict.fromkeys(w for _, ws in rows for w in ws))}
         self.templates = []
@@ -52,9 +51,8 @@ class Scanner:
             if bag:
                 self.templates.append((bag.total(), name, bag))
         self.templates.sort(key=lambda t: t[0])
-        self.sizes = [t[0] for t in self.templates]
         # a match shares at least so many bigrams with the smallest template
-        self.shared = max(1, math.ceil(min(self.sizes, default=1) * least / (2 - least) - 1e-9))
+        self.shared = max(1, math.ceil(min((t[0] for t in self.templates), default=1) * least / (2 - least) - 1e-9))
         self.known = np.zeros((len(self.number) + 1, len(self.number) + 1), bool)
         self.holders: dict[tuple[int, int], list[int]] = {}
         for t, (_, _, bag) in enumerate(self.templates):
@@ -62,37 +60,26 @@ class Scanner:
                 self.known[a, b] = True
                 self.holders.setdefault((a, b), []).append(t)
 
-    def bounds(self, n: int) -> range:
-        """Templates whose size lets a passage of n bigrams reach the least coefficient."""
-        d = self.least
-        return range(bisect_left(self.sizes, n * d / (2 - d) - 1e-9), bisect_right(self.sizes, n * (2 - d) / d + 1e-9))
-
-    def runs(self, code: np.ndarray) -> list[tuple[int, int]]:
-        """Runs of bigrams that templates hold, with gaps of `gap` others at most; bigram i is words i and i + 1."""
-        hit = np.flatnonzero(self.known[code[:-1], code[1:]])
-        if not len(hit):
-            return []
-        cut = np.flatnonzero(np.diff(hit) > self.gap + 1)
-        first, last = np.concatenate(([0], cut + 1)), np.concatenate((cut, [len(hit) - 1]))
-        enough = last - first + 1 >= self.shared
-        return list(zip(hit[first[enough]].tolist(), (hit[last[enough]] + 1).tolist()))
-
-    def compare(self, code: np.ndarray, lo: int, hi: int) -> list[tuple[float, int, int, int]]:
-        """(coefficient, first bigram, end, template) for a run, cut for each template to the bigrams that it holds."""
-        c = code[lo : hi + 1].tolist()
-        pairs = list(zip(c, c[1:]))
-        held: dict[int, list[int]] = {}
-        for i, p in enumerate(pairs):
-            for t in self.holders.get(p, ()):
-                held.setdefault(t, []).append(i)
-        found = []
-        for t, at in held.items():
-            a, b = at[0], at[-1] + 1
-            if len(at) >= self.sizes[t] * self.least / (2 - self.least) - 1e-9 and t in self.bounds(b - a):
-                d = dice(Counter(pairs[a:b]), self.templates[t][2])
-                if d >= self.least:
-                    found.append((d, lo + a, lo + b, t))
-        return found
+    def ranges(self, t: int, at: list[int], pairs: dict[int, tuple[int, int]]) -> Iterator[tuple[float, int, int, int]]:
+        """(coefficient, first bigram, end, template) of ranges that reach the least coefficient; at: the places of
+        bigrams that the template holds. Ranges that end in a bigram which adds nothing are left out: without it they
+        are shorter and the coefficient is higher."""
+        size, _, bag = self.templates[t]
+        need, most = size * self.least / (2 - self.least) - 1e-9, int(size * (2 - self.least) / self.least + 1e-9)
+        if len(at) < need:
+            return
+        places = np.array(at)
+        reach = np.searchsorted(places, places + most)
+        for i in np.flatnonzero(reach - np.arange(len(at)) >= need).tolist():
+            first, common, have = at[i], 0, Counter()
+            for x in at[i : reach[i]]:
+                p = pairs[x]
+                if have[p] < bag[p]:
+                    have[p] += 1
+                    common += 1
+                    d = 2 * common / (x + 1 - first + size)
+                    if d >= self.least:
+                        yield d, first, x + 1, t
 
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
         """(template, coefficient, first word, end) of every match, in text order."""
@@ -101,20 +88,20 @@ class Scanner:
             return []
         none = len(self.number)
         code = np.fromiter(map(self.number.get, words, repeat(none)), np.int64, len(words))
-        if not self.runs(code):
+        hit = np.flatnonzero(self.known[code[:-1], code[1:]])
+        if len(hit) < self.shared:
             return []
-        parts = [(0, len(words))]
-        lines = text.split("\n")
-        if len(lines) > 1:
-            end = np.cumsum([len(normalised(x)) for x in lines]).tolist()
-            parts += [(a, b) for a, b in zip([0, *end], end) if b - a > 1]
-        found = set()
-        for a, b in parts:
-            for lo, hi in self.runs(code[a:b]):
-                found.update(self.compare(code, a + lo, a + hi))
+        pairs = dict(zip(hit.tolist(), zip(code[hit].tolist(), code[hit + 1].tolist())))
+        held: dict[int, list[int]] = {}
+        for i, p in pairs.items():
+            for t in self.holders[p]:
+                held.setdefault(t, []).append(i)
+        found = [m for t, at in held.items() for m in self.ranges(t, at, pairs)]
         taken: list[tuple[str, float, int, int]] = []
+        used = bytearray(len(words))
         for d, lo, hi, t in sorted(found, key=lambda m: (-m[0], m[1] - m[2], m[1], m[3])):
-            if all(hi < x[2] or lo >= x[3] for x in taken):
+            if not any(used[lo : hi + 1]):
+                used[lo : hi + 1] = b"\1" * (hi + 1 - lo)
                 taken.append((self.templates[t][1], d, lo, hi + 1))
         return sorted(taken, key=lambda m: m[2])
 
