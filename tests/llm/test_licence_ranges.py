@@ -54,3 +54,10 @@ def test_several_statements(seed):
         parts += [" ".join(words), rng.choice([" ", "\n", f" {prose(rng.randint(0, 99), rng.randint(1, 6))} "])]
     text = "".join(parts)
     assert SCAN(text) == by_hand(text)
+
+
+@pytest.mark.parametrize("name, text", [(n, t) for n, t in TEMPLATES if len(t) > 250])
+def test_foreign_words_inside(name, text):
+    words = text.split()
+    broken = " ".join([prose(1, 9), *words[: len(words) // 2], prose(2, 8), *words[len(words) // 2 :], prose(3, 9)])
+    assert SCAN(broken) == by_hand(broken) and {m[0] for m in SCAN(broken)} == {name}
