@@ -1,6 +1,8 @@
 """Registered queries of the document operators over the shared tables, with the SQL each must equal.
 
-Every query goes through the engine's own operators. A nullable column `m` (missing for every third key) stands in for
+Queries go through the compilers of criteria, queries and updates. None writes to a Collection: insert_many is a union
+and delete_one an anti-join of tables, positions and counts are read off columns, so they do not cover what a collection
+stores. A nullable column `m` (missing for every third key) stands in for
 optional fields, as the tables hold no nulls.
 """
 
