@@ -31,7 +31,12 @@ def valid_id(s: object) -> bool:
     return isinstance(s, str) and re.fullmatch(f"{HEX24}|{UUID4}", s, re.IGNORECASE) is not None
 
 
+def valid_uuid(s: object) -> bool:
+    return isinstance(s, str) and re.fullmatch(UUID4, s, re.IGNORECASE) is not None
+
+
 def new_id(kind: str = "mongo") -> str:
+    """A fresh id: of 24 digits, or a UUID (kind "uuid")."""
     return str(uuid.uuid4()) if kind == "uuid" else secrets.token_hex(12)
 
 

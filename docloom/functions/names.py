@@ -17,26 +17,32 @@ FORBIDDEN = [
     r"(?i)passwd|shadow|hosts",
 ]
 LONGEST = 64
-STRIPPED = '<>:"|?*'
+#: What a folder's name can't hold as it is, on some file system or in a path that Spark reads.
+ESCAPED = '<>:"|?*%[]{}'
 
 
 def check_name(name: object) -> str | None:
     """What is wrong with a name, or None."""
     if not isinstance(name, str):
-        return "Invalid or empty path"
+        return "a name is a text"
     if not name.strip():
-        return "Path cannot be empty or contain only whitespace"
+        return "it holds nothing but blanks"
     if any(re.search(p, x) for p in FORBIDDEN for x in (name, unquote(name))):
-        return "Dangerous pattern detected in path"
+        return "it could lead out of its folder"
     if len(name) > LONGEST:
-        return "Name too long"
-    if name.startswith("_"):
-        return "Names that begin with an underscore are reserved"
+        return f"it is longer than {LONGEST} characters"
+    if name.strip().startswith("_"):
+        return "a leading underscore is for the engine's own folders"
     return None
 
 
-def clean_name(name: str) -> str:
-    return name.translate(str.maketrans("", "", STRIPPED)).strip()
+def folder_of(name: str) -> str:
+    """The folder of a name without its outer blanks; different names have different folders."""
+    return "".join(f"%{ord(c):02x}" if c in ESCAPED else c for c in name.strip())
+
+
+def name_of(folder: str) -> str:
+    return unquote(folder)
 
 
 def is_name(s: Column) -> Column:

@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import SparkSession
 
 from ..errors import DocumentError
-from ..functions.names import check_name, clean_name
+from ..functions.names import check_name, folder_of, name_of
 from ..plans.schema import Schema
 from ..sources.store import Files
 from .collection import Collection
@@ -25,10 +25,10 @@ class Database:
         base = data_dir or os.path.join(os.getcwd(), "data")
         if "://" not in base:
             base = "file://" + os.path.abspath(base)
-        self.spark, self.name, self.id_type = spark, clean_name(name), id_type
+        self.spark, self.name, self.id_type = spark, name.strip(), id_type
         self.codec = {True: "gzip", False: "uncompressed"}.get(compression, compression)
         self.chunk_rows = chunk_rows
-        self.files = Files(spark, f"{base.rstrip('/')}/{self.name}")
+        self.files = Files(spark, f"{base.rstrip('/')}/{folder_of(name)}")
         self.ready = False
 
     def initialize(self) -> "Database":
@@ -39,21 +39,21 @@ class Database:
         self.ready = True
         return self
 
-    def collection(self, name: str, schema: Schema | None = None, id_type: str | None = None) -> Collection:
-        """A handle; the collection comes into being with its first write."""
+    def collection(self, name: str, schema: Schema | None = None, id_type: str | None = None, cache: bool = False) -> Collection:
+        """A handle; the collection comes into being with its first write. cache: see Collection."""
         self._check()
-        if not isinstance(name, str) or (why := check_name(name)):
-            raise DocumentError(f"Collection name is invalid: {why if isinstance(name, str) else 'must be a non-empty string'}", "COL003", name=repr(name))
-        return Collection(self.spark, f"{self.files.root}/{clean_name(name)}", name, schema, id_type or self.id_type, self.codec, self.chunk_rows)
+        if why := check_name(name):
+            raise DocumentError(f"Collection name can't be used: {why}", "COL003", name=repr(name))
+        return Collection(self.spark, f"{self.files.root}/{folder_of(name)}", name.strip(), schema, id_type or self.id_type, self.codec, self.chunk_rows, cache=cache)
 
     def list_collections(self) -> list[str]:
         self._check()
-        return sorted(n for n, folder in self.files.list() if folder and not n.startswith("_"))
+        return sorted(name_of(n) for n, folder in self.files.list() if folder and not n.startswith("_"))
 
     def drop_collection(self, name: str) -> bool:
         """False if there is none."""
         self._check()
-        if name not in self.list_collections():
+        if check_name(name) or name.strip() not in self.list_collections():
             return False
         self.collection(name).drop()
         return True

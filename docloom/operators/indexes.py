@@ -11,6 +11,16 @@ from pyspark.sql import functions as F
 from ..functions.fields import canonical, field
 
 
+def fields_of(fields: str | list[str]) -> list[str]:
+    """Field names, given as a list or joined by a plus."""
+    return fields.split("+") if isinstance(fields, str) else list(fields)
+
+
+def overlap(a: str, b: str) -> bool:
+    """Whether one of two paths holds the other."""
+    return a == b or a.startswith(b + ".") or b.startswith(a + ".")
+
+
 def definition(fields: str | list[str], unique: bool = False, sparse: bool = False, name: str | None = None) -> dict[str, Any]:
     cols = [fields] if isinstance(fields, str) else list(fields)
     return {"name": name or "idx_" + "_".join(cols), "fields": cols, "unique": unique, "sparse": sparse}

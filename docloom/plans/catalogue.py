@@ -1,9 +1,8 @@
 """Registered queries of the document operators over the shared tables, with the SQL each must equal.
 
-Queries go through the compilers of criteria, queries and updates. None writes to a Collection: insert_many is a union
-and delete_one an anti-join of tables, positions and counts are read off columns, so they do not cover what a collection
-stores. A nullable column `m` (missing for every third key) stands in for
-optional fields, as the tables hold no nulls.
+Queries go through the compilers of criteria, queries and updates; those from `collection_` on write a whole table to a
+Collection in a scratch folder, change it through the Collection's own methods and read it back. A nullable column `m`
+(missing for every third key) stands in for optional fields, as the tables hold no nulls.
 """
 
 from __future__ import annotations
@@ -15,11 +14,14 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import DocumentError
 from ..functions import ids, names
 from ..functions.fields import DOC
 from ..operators import indexes as X
-from ..operators.collection import moved_position
+from ..operators.collection import Collection, moved_position
+from ..operators.database import Database
 from ..sources import documents as D
+from ..sources.scratch import scratch
 from . import update as U
 from .criteria import matches
 from .query import Query
@@ -148,7 +150,6 @@ _add("select_fields", "SELECT c_custkey, c_name FROM customer", lambda t: Query(
 _add("select_exclude", "SELECT n_nationkey, n_name FROM nation", lambda t: Query().select({"n_regionkey": 0}).execute(t("nation")))
 _add("select_nested", "SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events", lambda t: Query().select(["event_id", "props.k"]).execute(_event_docs(t).select("event_id", DOC)).select("event_id", F.variant_get(DOC, "$.props.k", "int").alias("k")))
 _add("find_one", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderkey LIMIT 1", lambda t: Query({"o_orderstatus": "P"}).sort({"o_orderkey": 1}).limit(1).select(O).execute(t("orders")))
-_add("find_by_id", "SELECT * FROM customer WHERE c_custkey = 42", lambda t: Query({"c_custkey": 42}).limit(1).execute(t("customer")))
 _add("count_all", "SELECT count(*) AS n FROM lineitem", lambda t: Query().execute(t("lineitem")).agg(F.count("*").alias("n")))
 _add("count_criteria", "SELECT count(*) AS n FROM lineitem WHERE l_quantity < 10 AND l_returnflag <> 'N'", lambda t: Query({"l_quantity": {"$lt": 10}, "l_returnflag": {"$ne": "N"}}).execute(t("lineitem")).agg(F.count("*").alias("n")))
 _add("count_query_limit", "SELECT count(*) AS n FROM (SELECT 1 FROM orders WHERE o_orderstatus = 'F' LIMIT 30 OFFSET 5)", lambda t: Query({"o_orderstatus": "F"}).skip(5).limit(30).execute(t("orders")).agg(F.count("*").alias("n")))
@@ -158,11 +159,8 @@ def _placed(t) -> DataFrame:
     return t("nation").withColumn("_pos", F.col("n_nationkey").cast("long"))
 
 
-_add("get_position", "SELECT count(*) AS n FROM nation WHERE n_nationkey < 7", lambda t: Query({"_pos": {"$lt": 7}}).execute(_placed(t)).agg(F.count("*").alias("n")))
-_add("find_by_position", "SELECT n_nationkey, n_name FROM nation ORDER BY n_nationkey LIMIT 1 OFFSET 11", lambda t: Query().skip(11).limit(1).execute(_placed(t)).select("n_nationkey", "n_name"))
 _add("update_position_down", "SELECT n_nationkey, CAST(CASE WHEN n_nationkey = 3 THEN 10 WHEN n_nationkey > 3 AND n_nationkey <= 10 THEN n_nationkey - 1 ELSE n_nationkey END AS BIGINT) AS place FROM nation", lambda t: _placed(t).select("n_nationkey", moved_position(F.col("_pos"), F.col("n_nationkey") == 3, 3, 10).alias("place")))
 _add("update_position_up", "SELECT n_nationkey, CAST(CASE WHEN n_nationkey = 20 THEN 4 WHEN n_nationkey >= 4 AND n_nationkey < 20 THEN n_nationkey + 1 ELSE n_nationkey END AS BIGINT) AS place FROM nation", lambda t: _placed(t).select("n_nationkey", moved_position(F.col("_pos"), F.col("n_nationkey") == 20, 20, 4).alias("place")))
-_add("insert_many", "SELECT r_regionkey, r_name FROM region UNION ALL SELECT 5, 'ATLANTIS' UNION ALL SELECT 6, 'LEMURIA'", lambda t: (r := t("region").select("r_regionkey", "r_name")).unionByName(r.sparkSession.createDataFrame([(5, "ATLANTIS"), (6, "LEMURIA")], r.schema)))
 
 
 def _updated(name: str, criteria, update, sql: str, cols, make=_orders_m) -> None:
@@ -200,15 +198,6 @@ _add("delete_many", f"SELECT o_orderkey FROM {ORDERS_M} WHERE NOT coalesce(m = '
 _add("delete_many_missing", f"SELECT o_orderkey FROM {ORDERS_M} WHERE m IS NOT NULL AND m = 'F'", lambda t: _deleted(t, {"m": {"$ne": "F"}}))
 
 
-def _delete_one(t) -> DataFrame:
-    df = t("orders")
-    first = Query({"o_orderstatus": "P"}).sort({"o_orderkey": 1}).limit(1).execute(df).select("o_orderkey")
-    return df.join(first, "o_orderkey", "left_anti").select("o_orderkey")
-
-
-_add("delete_one", "SELECT o_orderkey FROM orders WHERE o_orderkey <> (SELECT min(o_orderkey) FROM orders WHERE o_orderstatus = 'P')", _delete_one)
-
-
 def _validated(name: str, table, schema: Schema, key: str, sql: str) -> None:
     def build(t) -> DataFrame:
         df = table(t)
@@ -246,3 +235,105 @@ _add("date_revival", "SELECT event_id, epoch_ms(date_trunc('milliseconds', ts))
 _add("valid_ids", "SELECT c_custkey, regexp_full_match(substr(md5(c_name), 1, 24), '[0-9a-f]{24}') AS hex, regexp_full_match(c_name, '[0-9a-f]{24}') AS plain FROM customer", lambda t: t("customer").select("c_custkey", ids.is_id(F.substring(F.md5(F.col("c_name").cast("binary")), 1, 24)).alias("hex"), ids.is_id(F.col("c_name")).alias("plain")))
 _add("valid_names", "SELECT p.page_id, NOT regexp_matches(url, '[./\\\\]') AND length(url) <= 64 AS good FROM pages p", lambda t: t("pages").select("page_id", names.is_name(F.col("url")).alias("good")))
 _add("valid_names_source", "SELECT doc_id, true AS good FROM documents", lambda t: t("documents").select("doc_id", names.is_name(F.col("source")).alias("good")))
+
+
+#: Of a stored document, the columns that are compared.
+NATION = {"n_nationkey": "int", "n_name": "string"}
+ORDER = {"o_orderkey": "long", "o_orderstatus": "string", "o_totalprice": "double"}
+
+
+def _collection(name: str, sql: str, table: str, cols: dict[str, str], change: Callable[[Collection, DataFrame], DataFrame | list | None], key: str) -> None:
+    """change gets a new collection with the whole table in the order of its key, and the table; what it returns, or
+    else the whole collection, is the result."""
+
+    def build(t: Callable[[str], DataFrame]) -> DataFrame:
+        df = t(table)
+        c = Database(df.sparkSession, "scratch", scratch(df.sparkSession)).initialize().collection(table)
+        c.insert_df(df.orderBy(key))
+        out = change(c, df)
+        if isinstance(out, list):
+            return df.sparkSession.createDataFrame([tuple(d.get(k) for k in cols) for d in out], ", ".join(f"{k} {v}" for k, v in cols.items()))
+        out = c.find_df() if out is None else out
+        return out.select(*[F.try_variant_get(DOC, f"$.{k}", v).alias(k) for k, v in cols.items()]) if DOC in out.columns else out
+
+    _add(name, sql, build)
+
+
+def _id(c: Collection, criteria) -> str:
+    return c.find_one(criteria)["_id"]
+
+
+def _raises(code: str, run: Callable[[], object]) -> None:
+    try:
+        run()
+    except DocumentError as e:
+        if code in (e.code, e.details.get("cause")):
+            return
+        raise
+    raise AssertionError(f"no error {code}")
+
+
+def _inserted(c: Collection, _: DataFrame) -> None:
+    c.insert_one({"n_nationkey": 25, "n_name": "ATLANTIS"})
+    c.insert_many([{"n_nationkey": 26, "n_name": "LEMURIA"}, {"n_nationkey": 27}])
+    _raises("DB007", lambda: c.insert_one({"_id": _id(c, {"n_nationkey": 26}), "n_nationkey": 28}))
+    _raises("DOC008", lambda: c.insert_many([{"n_nationkey": 29}, {"_id": "free text"}]))
+
+
+def _updated_one(c: Collection, _: DataFrame) -> None:
+    c.update_by_id(_id(c, {"n_name": "NATION_6"}), {"$set": {"n_name": "GAUL"}})
+    c.update_one({"n_nationkey": {"$gte": 20}}, {"$inc": {"n_nationkey": 100}})
+    c.update_one({"n_name": "nowhere"}, {"$set": {"n_name": "x"}})
+
+
+def _removed(c: Collection, _: DataFrame) -> None:
+    c.delete_by_id(_id(c, {"o_orderstatus": "P"}))
+    c.delete_one({"o_orderstatus": "F"})
+    c.delete_many({"o_totalprice": {"$gt": 300000}})
+    c.delete_by_id("0" * 24)
+
+
+def _moved(c: Collection, _: DataFrame) -> list:
+    c.update_position(_id(c, {"n_nationkey": 3}), 10)
+    c.update_position(_id(c, {"n_nationkey": 20}), 4)
+    c.update_position(_id(c, {"n_nationkey": 0}), 1000)
+    return [{"n_nationkey": d["n_nationkey"], "place": c.get_position(d["_id"])} for d in c.find()]
+
+
+def _constrained(c: Collection, _: DataFrame) -> None:
+    c.create_index("n_name", unique=True)
+    c.create_index(["n_regionkey", "n_name"], unique=True)
+    _raises("IDX004", lambda: c.insert_one({"n_nationkey": 90, "n_name": "NATION_6"}))
+    _raises("IDX004", lambda: c.update_many({"n_nationkey": {"$lt": 2}}, {"$set": {"n_name": "SAME"}}))
+    _raises("IDX004", lambda: c.create_index("n_regionkey", unique=True))
+    c.drop_index("n_name")
+    c.insert_one({"n_nationkey": 91, "n_name": "NATION_6", "n_regionkey": 99})
+    _raises("IDX004", lambda: c.insert_one({"n_nationkey": 92, "n_name": "NATION_6", "n_regionkey": 99}))
+
+
+def _reopened(c: Collection, _: DataFrame) -> DataFrame:
+    c.update_many({"o_orderstatus": "P"}, {"$set": {"o_orderstatus": "Q"}})
+    again = Collection(c.spark, c.store.files.root, c.name)
+    return again.find_df({"o_orderstatus": {"$ne": "F"}})
+
+
+_N, _O = ", ".join(NATION), ", ".join(ORDER)
+_FIRST_P, _FIRST_F = ("(SELECT min(o_orderkey) FROM orders WHERE o_orderstatus = '%s')" % x for x in "PF")
+_collection("collection_insert", f"SELECT {_N} FROM nation UNION ALL SELECT * FROM (VALUES (25, 'ATLANTIS'), (26, 'LEMURIA'), (27, NULL))", "nation", NATION, _inserted, "n_nationkey")
+_collection("collection_find_by_id", f"SELECT {_O} FROM orders WHERE o_orderkey = 42", "orders", ORDER, lambda c, _: [c.find_by_id(_id(c, {"o_orderkey": 42}))], "o_orderkey")
+_collection("collection_find", f"SELECT {_O} FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 200000", "orders", ORDER, lambda c, _: c.find_df({"o_orderstatus": "F", "o_totalprice": {"$gt": 200000}}), "o_orderkey")
+_collection("collection_find_by_index", f"SELECT {_N} FROM nation WHERE n_regionkey = 2", "nation", NATION, lambda c, _: c.create_index("n_regionkey") and c.find_by_index("n_regionkey", 2), "n_nationkey")
+_collection("collection_count", "SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'O'", "orders", {"n": "long"}, lambda c, _: [{"n": c.count({"o_orderstatus": "O"})}], "o_orderkey")
+_collection("collection_deep_skip", f"SELECT {_O} FROM orders ORDER BY o_orderkey LIMIT 7 OFFSET 12000", "orders", ORDER, lambda c, _: c.find_df(Query().skip(12000).limit(7)), "o_orderkey")
+_collection("collection_get_position", "SELECT count(*) AS n FROM orders WHERE o_orderkey < (SELECT min(o_orderkey) FROM orders WHERE o_totalprice = (SELECT max(o_totalprice) FROM orders))", "orders", {"n": "long"}, lambda c, t: [{"n": c.get_position(_id(c, {"o_totalprice": t.agg(F.max("o_totalprice")).first()[0]}))}], "o_orderkey")
+_collection("collection_find_by_position", f"SELECT {_O} FROM orders ORDER BY o_orderkey LIMIT 1 OFFSET (SELECT count(*) // 2 FROM orders)", "orders", ORDER, lambda c, t: [c.find_by_position(t.count() // 2)], "o_orderkey")
+_collection(
+    "collection_update_position",
+    "SELECT n_nationkey, CAST(CASE WHEN n_nationkey = 0 THEN 24 WHEN n_nationkey = 20 THEN 3 WHEN n_nationkey = 3 THEN 10 WHEN n_nationkey = 4 THEN 2 WHEN n_nationkey BETWEEN 11 AND 19 THEN n_nationkey ELSE n_nationkey - 1 END AS BIGINT) AS place FROM nation",
+    "nation", {"n_nationkey": "int", "place": "long"}, _moved, "n_nationkey",
+)
+_collection("collection_update_one", "SELECT CAST(CASE WHEN n_nationkey = 20 THEN 120 ELSE n_nationkey END AS INT) AS n_nationkey, CASE WHEN n_name = 'NATION_6' THEN 'GAUL' ELSE n_name END AS n_name FROM nation", "nation", NATION, _updated_one, "n_nationkey")
+_collection("collection_update_many", "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'Z' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM orders", "orders", ORDER, lambda c, _: c.update_many({"o_totalprice": {"$gt": 200000}}, {"$set": {"o_orderstatus": "Z"}}) and None, "o_orderkey")
+_collection("collection_delete", f"SELECT {_O} FROM orders WHERE o_orderkey NOT IN ({_FIRST_P}, {_FIRST_F}) AND o_totalprice <= 300000", "orders", ORDER, _removed, "o_orderkey")
+_collection("collection_unique", f"SELECT {_N} FROM nation UNION ALL SELECT 91, 'NATION_6'", "nation", NATION, _constrained, "n_nationkey")
+_collection("collection_reopened", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'Q' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus <> 'F'", "orders", ORDER, _reopened, "o_orderkey")

@@ -209,6 +209,24 @@ def _same(f: Field, bound: Any) -> Column:
     return shape & (canonical(f.col) == canonical(variant_of(bound)))
 
 
+def _same_as_any(f: Field, bounds: list[Any]) -> Column:
+    """Equality of a variant and one of many values: one look-up a kind, whatever their number."""
+    numbers, texts, tests = [], [], []
+    for x in bounds:
+        if _is_number(x) and not isinstance(x, bool):
+            if not (isinstance(x, float) and math.isnan(x)):
+                numbers.append(float(x))
+        elif isinstance(x, str):
+            texts.append(x)
+        else:
+            tests.append(_same(f, x))
+    if numbers:
+        tests.append(f.is_number() & f.number().isin(numbers))
+    if texts:
+        tests.append((f.shape == "STRING") & f.text().isin(texts))
+    return reduce(lambda a, b: a | b, tests, F.lit(False))
+
+
 def _element(v: Column) -> Field:
     return Field("", "variant", v)
 
@@ -219,7 +237,7 @@ def _member(f: Field, bounds: Any, holds: bool) -> Column:
     if f.kind == "missing" or not bounds:
         return F.lit(not holds)
     if f.kind == "variant":
-        one = lambda e: reduce(lambda a, b: a | b, [_same(e, x) for x in bounds])
+        one = lambda e: _same_as_any(e, bounds)
         many = F.exists(f.elements(), lambda e: F.coalesce(one(_element(e)), F.lit(False)))
         return _either(F.when(f.is_array(), many).otherwise(one(f)), holds)
     if f.kind == "array":

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field as item
+from datetime import date, datetime
 from functools import partial, reduce
 from typing import Any
 
@@ -24,6 +25,18 @@ RULES = ("min", "max", "minLength", "maxLength", "pattern", "enum", "custom", "m
 Error = "struct<code:string,field:string,message:string>"
 
 
+#: Python types and the names they stand for.
+KINDS = {str: "string", int: "number", float: "number", bool: "boolean", datetime: "date", date: "date", list: "array", tuple: "array", dict: "object"}
+
+
+def type_name(kind: str | type) -> str:
+    if isinstance(kind, str):
+        return kind
+    if kind not in KINDS:
+        raise ValueError(f"no documents hold values of {kind!r}")
+    return KINDS[kind]
+
+
 @dataclass(frozen=True)
 class PythonRule:
     """A rule in Python, for what columns can't say: value -> None or True if good, False or a text if not."""
@@ -41,7 +54,7 @@ class FieldRule:
 
 
 class Schema:
-    """fields: {name: {type, required, default, validate, transform}}.
+    """fields: {name: {type, required, default, validate, transform}}. A type is a name or a Python type.
 
     A default is a value or a callable that gets a function from path to Column and returns a Column. A transform is a
     callable from Column to Column. A custom rule is a callable (value, get) that returns a boolean Column or a text
@@ -49,7 +62,7 @@ class Schema:
     """
 
     def __init__(self, fields: dict[str, dict[str, Any]], strict: bool = True, timestamps: bool = False):
-        self.fields = {name: FieldRule(**rule) for name, rule in fields.items()}
+        self.fields = {name: FieldRule(**{**rule, "type": type_name(rule.get("type", ""))}) for name, rule in fields.items()}
         for name, rule in self.fields.items():
             if unknown := set(rule.validate) - set(RULES):
                 raise ValueError(f"unknown rules of {name}: {', '.join(sorted(unknown))}")
@@ -76,25 +89,25 @@ class Schema:
             out.append(F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(code).alias("code"), F.lit(name).alias("field"), text.alias("message"))))
 
         if rule.required:
-            fail(absent, "SCH002", f"Field {name} is required")
+            fail(absent, "SCH002", f"{name} is required and has no value")
         if f.kind == "missing":
             return out
         there = ~absent
         if (good := of_type(f, rule.type)) is not None:
-            fail(there & ~good, "SCH003", f"Invalid type for field {name}: expected {rule.type}")
+            fail(there & ~good, "SCH003", f"{name} must be of type {rule.type}")
         told = rule.validate.get("message")
         checks = rule.validate
         number, text, size = value_number(f), value_text(f), value_size(f)
-        for key, bad, say in (("min", lambda x: number < x, "The value must be greater than or equal to"), ("max", lambda x: number > x, "The value must be less than or equal to")):
+        for key, bad, say in (("min", lambda x: number < x, "must be at least"), ("max", lambda x: number > x, "must be at most")):
             if checks.get(key) is not None and number is not None:
-                fail(there & bad(F.lit(checks[key])), "SCH004", told or f"{say} {checks[key]}")
-        for key, bad, say in (("minLength", lambda x: size < x, "The length must be greater than or equal to"), ("maxLength", lambda x: size > x, "The length must be less than or equal to")):
+                fail(there & bad(F.lit(checks[key])), "SCH004", told or f"{name} {say} {checks[key]}")
+        for key, bad, say in (("minLength", lambda x: size < x, "must have a length of at least"), ("maxLength", lambda x: size > x, "must have a length of at most")):
             if checks.get(key) is not None and size is not None:
-                fail(there & bad(F.lit(checks[key])), "SCH004", told or f"{say} {checks[key]}")
+                fail(there & bad(F.lit(checks[key])), "SCH004", told or f"{name} {say} {checks[key]}")
         if checks.get("pattern") is not None and text is not None:
-            fail(there & ~text.rlike(regex.of(checks["pattern"])), "SCH004", told or "Does not match the required pattern")
+            fail(there & ~text.rlike(regex.of(checks["pattern"])), "SCH004", told or f"{name} does not have the form asked for")
         if checks.get("enum") is not None:
-            fail(there & ~among(f, checks["enum"]), "SCH004", told or f"The value must be one of: {', '.join(map(str, checks['enum']))}")
+            fail(there & ~among(f, checks["enum"]), "SCH004", told or f"{name} takes only {', '.join(map(str, checks['enum']))}")
         if (custom := checks.get("custom")) is not None:
             self._custom(df, f, custom, there, told, fail)
         return out
@@ -102,16 +115,18 @@ class Schema:
     def _custom(self, df: DataFrame, f: Field, custom, there: Column, told: str | None, fail) -> None:
         value = typed_value(f, self.fields[f.path].type)
         if isinstance(custom, PythonRule):
+            check, bad = custom.check, told or "the field's own rule rejects the value"
+
             def said(v):
-                r = None if v is None else custom.check(v)
-                return r if isinstance(r, str) else (told or "Failed custom validation") if r is False else None
+                r = None if v is None else check(v)
+                return r if isinstance(r, str) else bad if r is False else None
 
-            text = F.udf(said, "string")(value)
+            text = F.udf(said, "string", useArrow=True)(value)
             fail(there & text.isNotNull(), "SCH006", text)
             return
         result = custom(value, lambda path: typed_value(field(df.schema, path), self.fields[path].type if path in self.fields else ""))
         if isinstance(df.select(result.alias("r")).schema["r"].dataType, T.BooleanType):
-            fail(there & ~result, "SCH006", told or "Failed custom validation")
+            fail(there & ~result, "SCH006", told or "the field's own rule rejects the value")
         else:
             fail(there & result.isNotNull(), "SCH006", result)
 
@@ -123,7 +138,7 @@ class Schema:
         else:
             own = [F.when(F.col(f"`{c}`").isNotNull(), F.lit(c)) for c in df.columns if c not in known and not c.startswith("_")]
             first = F.coalesce(*own) if own else F.lit(None).cast("string")
-        return F.when(first.isNotNull(), F.struct(F.lit("SCH005").alias("code"), first.alias("field"), F.concat(F.lit("Field not allowed in schema: "), first).alias("message")))
+        return F.when(first.isNotNull(), F.struct(F.lit("SCH005").alias("code"), first.alias("field"), F.concat(first, F.lit(" is no field of the schema")).alias("message")))
 
     def normalised(self, df: DataFrame, now: Column | None = None) -> DataFrame:
         """Defaults for what is null or missing, then transforms; undeclared fields stay only in a lax schema, and
@@ -236,10 +251,10 @@ def value_size(f: Field) -> Column | None:
 
 
 def among(f: Field, values: list) -> Column:
-    from .criteria import _same, literal
+    from .criteria import _same_as_any, literal
 
     if f.kind == "variant":
-        return reduce(lambda a, b: a | b, [F.coalesce(_same(f, v), F.lit(False)) for v in values], F.lit(False))
+        return F.coalesce(_same_as_any(f, values), F.lit(False))
     wanted = [x for x in (literal(f, v) for v in values) if x is not None]
     return f.col.isin(wanted) if wanted else F.lit(False)
 

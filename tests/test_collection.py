@@ -1,5 +1,6 @@
 """Databases and collections end to end, with the scenarios that the engine's users rely on."""
 
+import random
 import threading
 from datetime import datetime, timezone
 
@@ -8,20 +9,22 @@ from pyspark.sql import functions as F
 
 from docloom import Database, DocumentError, PythonRule, Query, Schema
 from docloom.functions.names import check_name
+from docloom.operators import collection
+from docloom.sources import store
 
-SHOP = {"name": {"type": "string", "required": True}, "price": {"type": "number", "required": True, "validate": {"min": 0}}, "stock": {"type": "number", "default": 0}, "categorias": {"type": "array"}}
-ROWS = [("Laptop", 1000, 5, ["Electronics", "Computers"]), ("Mouse", 20, 10, ["Electronics", "Peripherals"]), ("Keyboard", 50, 8, ["Electronics", "Peripherals"]), ("Monitor", 300, 3, ["Electronics", "Displays"]), ("Tablet", 250, 0, ["Electronics", "Mobile"])]
+RIVER = {"name": {"type": "string", "required": True}, "km": {"type": "number", "required": True, "validate": {"min": 0}}, "dams": {"type": "number", "default": 0}, "lands": {"type": "array"}}
+ROWS = [("Danube", 2850, 59, ["DE", "AT", "HU"]), ("Isar", 292, 12, ["AT", "DE"]), ("Spree", 400, 3, ["DE", "CZ"]), ("Tisza", 966, 0, ["UA", "HU"]), ("Elbe", 1094, 4, ["CZ", "DE"]), ("Pegnitz", 113, 0, ["DE"])]
 
 
 @pytest.fixture
 def db(spark, tmp_path):
-    return Database(spark, "shop", str(tmp_path), compression=False).initialize()
+    return Database(spark, "maps", str(tmp_path), compression=False).initialize()
 
 
 @pytest.fixture
-def shop(db):
-    c = db.collection("products", Schema(SHOP))
-    c.insert_many([dict(zip(("name", "price", "stock", "categorias"), r)) for r in ROWS])
+def rivers(db):
+    c = db.collection("rivers", Schema(RIVER))
+    c.insert_many([dict(zip(("name", "km", "dams", "lands"), r)) for r in ROWS])
     return c
 
 
@@ -29,36 +32,175 @@ def names(c, q=None):
     return [d["name"] for d in c.find(q)]
 
 
-def test_queries(shop):
-    assert names(shop, {"price": {"$gt": 100}}) == ["Laptop", "Monitor", "Tablet"]
-    assert names(shop, {"categorias": {"$in": ["Peripherals"]}}) == ["Mouse", "Keyboard"]
-    assert names(shop, {"$and": [{"price": {"$gt": 50}}, {"stock": {"$gt": 0}}]}) == ["Laptop", "Monitor"]
-    assert names(shop, {"$or": [{"price": {"$lt": 30}}, {"stock": 0}]}) == ["Mouse", "Tablet"]
-    assert names(shop, Query().sort({"price": 1})) == ["Mouse", "Keyboard", "Tablet", "Monitor", "Laptop"]
-    assert names(shop, Query().skip(1).limit(2)) == ["Mouse", "Keyboard"]
-    assert shop.find(Query({"name": "Mouse"}).select(["name", "nothing"])) == [{"name": "Mouse"}]
-    assert shop.find(Query({"name": "Mouse"}).select({"categorias": 0, "_id": 0})) == [{"name": "Mouse", "price": 20, "stock": 10}]
-    assert shop.count() == 5 and shop.count(Query().skip(1).limit(3)) == 3 and shop.count({"stock": 0}) == 1
-    assert shop.find_one({"price": {"$lt": 100}})["name"] == "Mouse" and shop.find_one({"price": -1}) is None
-
-
-def test_positions_and_reopening(shop, db):
-    first = shop.find_one()["_id"]
-    assert shop.update_position(first, 2) and names(shop) == ["Mouse", "Keyboard", "Laptop", "Monitor", "Tablet"]
-    assert shop.get_position(first) == 2 and shop.find_by_position(2)["name"] == "Laptop"
-    assert shop.update_position(first, 100) and shop.find_by_position(4)["name"] == "Laptop"
-    assert shop.update_position("0" * 24, 1) is False and shop.get_position("0" * 24) == -1 and shop.find_by_position(9) is None
+def test_queries(rivers):
+    assert names(rivers, {"km": {"$gt": 500}}) == ["Danube", "Tisza", "Elbe"]
+    assert names(rivers, {"lands": {"$in": ["HU"]}}) == ["Danube", "Tisza"]
+    assert names(rivers, {"$and": [{"km": {"$gt": 300}}, {"dams": {"$gt": 0}}]}) == ["Danube", "Spree", "Elbe"]
+    assert names(rivers, {"$or": [{"km": {"$gt": 2000}}, {"dams": 0}]}) == ["Danube", "Tisza", "Pegnitz"]
+    assert names(rivers, Query().sort({"km": 1})) == ["Pegnitz", "Isar", "Spree", "Tisza", "Elbe", "Danube"]
+    assert names(rivers, Query().skip(1).limit(2)) == ["Isar", "Spree"]
+    assert rivers.find(Query({"name": "Isar"}).select(["name", "nothing"])) == [{"name": "Isar"}]
+    assert rivers.find(Query({"name": "Isar"}).select({"lands": 0, "_id": 0})) == [{"name": "Isar", "km": 292, "dams": 12}]
+    assert rivers.count() == 6 and rivers.count(Query().skip(1).limit(3)) == 3 and rivers.count({"dams": 0}) == 2
+    assert rivers.find_one({"km": {"$lt": 500}})["name"] == "Isar" and rivers.find_one({"km": -1}) is None
+
+
+def test_positions_and_reopening(rivers, db):
+    first = rivers.find_one()["_id"]
+    assert rivers.update_position(first, 2) and names(rivers) == ["Isar", "Spree", "Danube", "Tisza", "Elbe", "Pegnitz"]
+    assert rivers.get_position(first) == 2 and rivers.find_by_position(2)["name"] == "Danube"
+    assert rivers.update_position(first, 100) and rivers.find_by_position(5)["name"] == "Danube"
+    assert rivers.update_position("0" * 24, 1) is False and rivers.get_position("0" * 24) == -1 and rivers.find_by_position(9) is None
     for bad in (-1, "1", None, True):
         with pytest.raises(DocumentError, match="Invalid index"):
-            shop.find_by_position(bad)
+            rivers.find_by_position(bad)
     with pytest.raises(DocumentError, match="Invalid ID"):
-        shop.get_position("nope")
-    again = db.collection("products")
-    assert names(again) == names(shop) and again.count() == 5
+        rivers.get_position("nope")
+    again = db.collection("rivers")
+    assert names(again) == names(rivers) and again.count() == 6
     again.insert_one({"name": "New", "anything": 1})
     assert names(again)[-1] == "New"
 
 
+@pytest.mark.parametrize("step", [1, 1 << 16])
+def test_moves_against_a_list(db, monkeypatch, step):
+    """With room between positions and without."""
+    monkeypatch.setattr(collection, "STRIDE", step)
+    c = db.collection("moves")
+    want = [d["_id"] for k in range(3) for d in c.insert_many([{"k": k, "i": i} for i in range(4)])]
+    rng = random.Random(2)
+    for _ in range(8):
+        who, to = rng.choice(want), rng.randrange(14)
+        want.remove(who)
+        want.insert(to, who)
+        assert c.update_position(who, to)
+        assert [d["_id"] for d in c.find()] == want and c.get_position(who) == want.index(who)
+    assert c.df().select("_pos").distinct().count() == 12
+
+
+@pytest.mark.parametrize("cut", [None, 700])
+def test_deep_places(db, spark, monkeypatch, cut):
+    """Few rows are sorted, whatever the place asked for; with one file and with files whose positions overlap."""
+    monkeypatch.setattr(store, "FEW", 5)
+    monkeypatch.setattr(store, "_BINS", 7)
+    monkeypatch.setattr(collection, "FEW", 5)
+    c = db.collection("deep")
+    c.insert_df(spark.range(1000).select(F.col("id").alias("i")).repartitionByRange(5, "i").sortWithinPartitions("i"))
+    c.insert_many([{"i": 1000 + i} for i in range(20)])
+    if cut:
+        c.update_many({"i": {"$gt": cut}}, {"$set": {"late": True}})
+        c.store.commit(c.store.manifest(), parts=c.store.write(c.df().repartition(3)))
+    for n in (0, 1, 499, 998, 1000, 1018, 1019):
+        assert c.find_by_position(n)["i"] == n
+        assert [d["i"] for d in c.find(Query().skip(n).limit(2))] == list(range(n, min(n + 2, 1020)))
+    assert c.find_by_position(1020) is None and c.find(Query().skip(1020)) == [] and c.count(Query().skip(1010)) == 10
+    even = {"i": {"$in": list(range(0, 1020, 2))}}
+    assert [d["i"] for d in c.find(Query(even).skip(400).limit(3))] == [800, 802, 804] and c.find(Query(even).skip(510)) == []
+    assert sorted(r[0] for r in c.find_df(Query().skip(900)).select(F.variant_get("doc", "$.i", "int")).collect()) == list(range(900, 1020))
+
+
+def files(c):
+    return {p["file"] for p in c.store.manifest().parts}
+
+
+def test_changes_write_only_what_they_hit(db, spark):
+    c = db.collection("parts")
+    for k in range(4):
+        c.insert_many([{"k": k, "i": i} for i in range(3)])
+    before = files(c)
+    assert len(before) == 4
+    one = c.find_one({"k": 2})["_id"]
+    c.update_by_id(one, {"$set": {"x": 1}})
+    assert len(before & files(c)) == 3 and c.count() == 12
+    c.delete_by_id(one)
+    assert len(before & files(c)) == 3 and c.count() == 11
+    c.update_position(c.find_one({"k": 0})["_id"], 7)
+    assert len(before & files(c)) == 2
+    c.delete_many({"k": 3})  # a whole file
+    assert len(before & files(c)) == 1 and len(files(c)) == 3 and c.count() == 8
+    assert c.delete_many() == 8 and files(c) == set() and c.find() == [] and c.update_many({}, {"$set": {"x": 1}}) == 0
+
+
+def test_many_small_parts_are_merged(db, monkeypatch):
+    monkeypatch.setattr(collection, "FAN", 4)
+    c = db.collection("small")
+    made = [c.insert_one({"i": i})["_id"] for i in range(18)]
+    assert len(files(c)) <= 6 and [d["_id"] for d in c.find()] == made
+    assert c.compact(2) > 0 and len(files(c)) <= 2 and [d["i"] for d in c.find()] == list(range(18)) and c.compact(99) == 0
+
+
+def test_lost_commits_leave_nothing(db, monkeypatch):
+    c = db.collection("lost")
+    c.insert_one({"i": 0})
+    commit, lost = c.store.commit, []
+
+    def once(base, **changes):
+        if not lost:
+            lost.append(1)
+            raise DocumentError("another", "DB010")
+        return commit(base, **changes)
+
+    monkeypatch.setattr(c.store, "commit", once)
+    c.insert_one({"i": 1})
+    with pytest.raises(DocumentError):
+        c.update_many({}, {"$inc": {"i": 1}, "$push": {"i": 2}})
+    folders = {n for n, folder in c.store.files.list() if folder}
+    assert folders == {p["folder"] for p in c.store.manifest().parts} and c.count() == 2
+
+
+def test_readers_keep_their_version(db):
+    c = db.collection("old")
+    c.insert_many([{"i": i} for i in range(3)])
+    seen = c.find_df()
+    for k in range(4):
+        c.update_many({}, {"$inc": {"i": 10}})
+    assert seen.count() == 3 and len({n for n, folder in c.store.files.list() if folder}) == 5
+    c.store.sweep()
+    assert seen.count() == 3
+    c.store.sweep(keep=-1)
+    assert {n for n, folder in c.store.files.list() if folder} == {p["folder"] for p in c.store.manifest().parts}
+    assert [d["i"] for d in c.find()] == [40, 41, 42] and len(c.store.files.list()) == 2
+
+
+@pytest.mark.parametrize("scheme", ["file", "other"])
+def test_files_get_their_name_whole_and_once(db, scheme):
+    f = db.collection("names").store.files
+    f.make()
+    f.scheme = scheme
+    assert f.create("a" * 10000, "x") and not f.create("b", "x") and f.read("x") == "a" * 10000
+    assert [n for n, _ in f.list()] == ["x"]
+
+
+def test_cache(db):
+    c = db.collection("cached", cache=True)
+    c.insert_many([{"i": 1}, {"i": 2}])
+    assert c.df() is c.df() and c.df().storageLevel.useMemory and c.count() == 2
+    c.insert_one({"i": 3})
+    assert c.count() == 3 and c.find_by_position(2)["i"] == 3
+    c.clear_cache()
+    assert not db.collection("cached").df().storageLevel.useMemory
+
+
+def test_lookup_by_index(rivers):
+    rivers.create_index(["name", "km"])
+    assert rivers.has_index("name+km") and not rivers.has_index("km") and rivers.find_by_index("km", 400) is None
+    assert [d["name"] for d in rivers.find_by_index(["name", "km"], "Spree", 400)] == ["Spree"] and rivers.find_by_index("name+km", "Spree", 1) == []
+    with pytest.raises(DocumentError):
+        rivers.find_by_index("name+km", "Spree")
+
+
+def test_types_by_constructor(db):
+    s = Schema({"a": {"type": str}, "b": {"type": int}, "c": {"type": bool}, "d": {"type": datetime}, "e": {"type": list}, "f": {"type": dict}})
+    c = db.collection("kinds", s)
+    good = {"a": "x", "b": 1.5, "c": True, "d": datetime(2024, 1, 1), "e": [1], "f": {"x": 1}}
+    assert c.insert_one(good)["b"] == 1.5
+    for k in good:
+        with pytest.raises(DocumentError, match=f"{k} must be of type"):
+            c.insert_one({**good, k: 7 if k != "b" else "7"})
+    with pytest.raises(ValueError):
+        Schema({"a": {"type": set}})
+
+
 def test_updates(db):
     c = db.collection("free")
     d = c.insert_one({"a": {"b": 1}, "t": ["x"], "n": None, "when": datetime(2024, 1, 2, tzinfo=timezone.utc)})
@@ -80,12 +222,12 @@ def test_updates(db):
     assert e.value.code == "DOC006" and e.value.details["cause"] == "DOC003" and c.find_one()["s"] == "text"
 
 
-def test_deletes(shop):
-    assert shop.delete_many({"price": {"$gte": 250}}) == 3 and names(shop) == ["Mouse", "Keyboard"]
-    assert shop.delete_one({"price": {"$gt": 0}}) and names(shop) == ["Keyboard"]
-    assert not shop.delete_one({"price": 0}) and not shop.delete_by_id("0" * 24)
+def test_deletes(rivers):
+    assert rivers.delete_many({"km": {"$gte": 400}}) == 4 and names(rivers) == ["Isar", "Pegnitz"]
+    assert rivers.delete_one({"km": {"$gt": 0}}) and names(rivers) == ["Pegnitz"]
+    assert not rivers.delete_one({"km": 0}) and not rivers.delete_by_id("0" * 24)
     with pytest.raises(DocumentError, match="Invalid document ID format"):
-        shop.delete_by_id("free text")
+        rivers.delete_by_id("free text")
 
 
 def test_schema_errors(db):
@@ -101,16 +243,16 @@ def test_schema_errors(db):
     good = {"name": "abc", "price": 3, "email": "a.b@c.de", "size": "S", "zip": "x", "odd": 3, "day": datetime(2024, 1, 1), "flag": True, "o": {"x": 1}, "tags": [1]}
     assert c.insert_one(good)["price"] == 3
     for change, text in (
-        ({"name": None}, "required"), ({"name": 5}, "type"), ({"name": "ab"}, "greater than or equal to 3"), ({"name": "abcdef"}, "less than or equal to 5"),
-        ({"price": -1}, "greater than or equal to 0"), ({"price": 11}, "less than or equal to 10"), ({"price": "3"}, "type"), ({"email": "x"}, "no address"), ({"size": "M"}, "one of"),
-        ({"name": "usa", "zip": "123"}, "bad zip"), ({"odd": 2}, "custom"), ({"day": "soon"}, "type"), ({"flag": 1}, "type"), ({"o": [1]}, "type"), ({"tags": []}, "greater than or equal to 1"),
-        ({"other": 1}, "allowed"),
+        ({"name": None}, "required"), ({"name": 5}, "type"), ({"name": "ab"}, "at least 3"), ({"name": "abcdef"}, "at most 5"),
+        ({"price": -1}, "at least 0"), ({"price": 11}, "at most 10"), ({"price": "3"}, "type"), ({"email": "x"}, "no address"), ({"size": "M"}, "takes only"),
+        ({"name": "usa", "zip": "123"}, "bad zip"), ({"odd": 2}, "own rule"), ({"day": "soon"}, "type"), ({"flag": 1}, "type"), ({"o": [1]}, "type"), ({"tags": []}, "at least 1"),
+        ({"other": 1}, "no field"),
     ):
         with pytest.raises(DocumentError, match=text) as e:
             c.insert_many([{"name": "good"}, {**good, **change}])
         assert e.value.code == "DOC002"
     assert c.count() == 1  # nothing of a failed batch stays
-    with pytest.raises(DocumentError, match="greater"):
+    with pytest.raises(DocumentError, match="at least"):
         c.update_many({}, {"$set": {"price": -5}})
     assert c.find_one()["price"] == 3
 
@@ -192,6 +334,11 @@ def test_databases(db, spark, tmp_path):
     db.collection("a").insert_one({"x": 1})
     assert db.collection("b").find() == [] and db.list_collections() == ["a"]
     assert db.drop_collection("a") and not db.drop_collection("a") and db.list_collections() == []
+    for k, odd in enumerate(("a:b", "ab", 'c"?*<d>|', "50% [x] {y}", " outer ")):
+        db.collection(odd).insert_one({"k": k})
+    assert db.list_collections() == sorted(["a:b", "ab", 'c"?*<d>|', "50% [x] {y}", "outer"])
+    assert [db.collection(n).find()[0]["k"] for n in ("a:b", "ab", 'c"?*<d>|', "50% [x] {y}", "outer")] == [0, 1, 2, 3, 4]
+    assert db.drop_collection("a:b") and not db.drop_collection("a:b") and not db.drop_collection("..") and db.collection("ab").count() == 1
     assert db.collection("a").insert_many([]) == []
     with pytest.raises(DocumentError, match="not initialized"):
         Database(spark, "x", str(tmp_path)).collection("y")
