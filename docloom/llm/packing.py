@@ -6,13 +6,14 @@ the duplicate clusters that they hold; the search starts at the tightest bin tha
 next until one holds neither the item's source nor its cluster. No two parts from the same source, and no two members
 of a duplicate cluster, share a bin.
 
-Items are dealt by a hash into packs of about `pack` items, however many rows there are; each pack is packed by
-itself, so a task holds a bounded number of items whatever source or cluster is hot. The price is at most a few open
-bins a pack.
+Items are dealt by a hash of their place in the table into packs of about `pack` items, however many rows there are;
+each pack is packed by itself, so a task holds a bounded number of items whatever source or cluster is hot, and however
+often a row repeats. The price is at most a few open bins a pack.
 
 Defined results: a null text is empty; an empty text is an item of one separator token; a null source conflicts with
 no other document; copies (equal text but for blanks and case) are one cluster; repeated rows are items of their own
-in the same cluster; an empty table gives an empty result.
+in the same cluster; texts of any length are read whole, and a long one fills bins of its own; an empty table gives an
+empty result. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -95,7 +96,8 @@ def best_fit(spark: SparkSession, docs: DataFrame, model_path: str, capacity: in
     kept = Staged(spark)
     sized = kept.put(count_ids(rows, model_path), "pack-sizes")
     packs = max(1, -(-sized.count() // pack))
-    dealt = sized.withColumn("pack", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(packs))).repartition("pack").sortWithinPartitions("pack", "doc_id", "cluster")
+    # the table is written, so a task that runs again reads the same places
+    dealt = sized.withColumn("pack", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(packs))).repartition("pack").sortWithinPartitions("pack", "doc_id", "cluster")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
