@@ -3,8 +3,8 @@
 A chunk is a run of whitespace markers with the word that follows. Where no piece holds a marker after another
 character (checked on the model), no merge crosses from one chunk to the next, so a text's ids are its chunks' ids in
 order. Each task keeps a table of the distinct chunks it has met, has the library segment each new one once, and
-joins ids and decoded strings back by position. The table is bounded: beyond `most` chunks it starts anew, which
-costs time and changes nothing. There is no shuffle.
+joins ids and decoded strings back by position. The table is bounded: beyond `most` chunks or `most_chars` characters in
+them it starts anew, which costs time and changes nothing. There is no shuffle.
 
 Defined results: null and empty texts have no ids and decode to the empty string; repeated rows give equal rows; an
 empty table gives an empty result; texts are encoded whole. Other columns are not read.
@@ -57,11 +57,11 @@ class _Numbers(dict):
 class ChunkTable:
     """Distinct chunks with their ids and decoded strings."""
 
-    def __init__(self, model: bytes, most: int = 400_000):
+    def __init__(self, model: bytes, most: int = 400_000, most_chars: int = 8 << 20):
         import sentencepiece
 
         self.lib = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.most = most
+        self.most, self.most_chars = most, most_chars
         if any(MARK in self.lib.id_to_piece(i).lstrip(MARK) for i in range(self.lib.get_piece_size())):
             raise ValueError("this model has pieces that cross whitespace markers; its texts can't be cut into chunks")
         self.lone = self.lib.encode("a ")[len(self.lib.encode("a")) :]
@@ -69,6 +69,7 @@ class ChunkTable:
 
     def clear(self) -> None:
         self.index = _Numbers()
+        self.chars = 0
         self.said: list[str] = []
         self.flat, self.start, self.count = array("i"), array("q"), array("i")
 
@@ -77,6 +78,7 @@ class ChunkTable:
         new, self.index.new = self.index.new, []
         if not new:
             return
+        self.chars += sum(map(len, new))
         ids = self.lib.encode([w.replace(MARK, " ") for w in new], num_threads=1)
         ids = [x if w else self.lone for w, x in zip(new, ids)]
         self.said += [w if w == t else t for w, t in zip(new, self.lib.decode(ids))]
@@ -86,7 +88,7 @@ class ChunkTable:
         self.flat.extend(chain.from_iterable(ids))
 
     def codes(self, texts: list[list[str]]) -> list[np.ndarray]:
-        if len(self.index) > self.most:
+        if len(self.index) > self.most or self.chars > self.most_chars:
             self.clear()
         get = self.index.__getitem__
         out = [np.fromiter(map(get, words), np.int32, len(words)) for words in texts]
