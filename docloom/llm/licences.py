@@ -5,8 +5,8 @@ texts are scanned and a statement inside a long document counts. A template of n
 coefficient d against passages of n * d / (2 - d) to n * (2 - d) / d bigrams; all such ranges that begin and end in a
 bigram of the template are compared, over multisets of bigrams, whatever stands between.
 
-Defined results: null and empty texts hold no licence; repeated rows give equal rows; an empty table gives an empty
-result. Of matches that overlap the highest coefficient stays, then the longer, then the first template.
+Defined results: null and empty texts hold no licence; repeated rows give equal rows; texts of any length are scanned
+whole; an empty table gives an empty result; other columns, whatever their names, are not read. Of matches that overlap the highest coefficient stays, then the longer, then the first template.
 """
 
 from __future__ import annotations
@@ -53,12 +53,20 @@ class Scanner:
         self.templates.sort(key=lambda t: t[0])
         # a match shares at least so many bigrams with the smallest template
         self.shared = max(1, math.ceil(min((t[0] for t in self.templates), default=1) * least / (2 - least) - 1e-9))
-        self.known = np.zeros((len(self.number) + 1, len(self.number) + 1), bool)
         self.holders: dict[tuple[int, int], list[int]] = {}
         for t, (_, _, bag) in enumerate(self.templates):
-            for a, b in bag:
-                self.known[a, b] = True
-                self.holders.setdefault((a, b), []).append(t)
+            for p in bag:
+                self.holders.setdefault(p, []).append(t)
+        self.known = np.array(sorted(a * len(self.number) + b for a, b in self.holders), np.int64)
+
+    def hits(self, code: np.ndarray) -> np.ndarray:
+        """Places of bigrams that some template holds."""
+        n = len(self.number)
+        at = np.flatnonzero((code[:-1] < n) & (code[1:] < n))
+        pair = code[at] * n + code[at + 1]
+        place = np.searchsorted(self.known, pair)
+        place[place == len(self.known)] = 0
+        return at[self.known[place] == pair] if len(self.known) else at[:0]
 
     def ranges(self, t: int, at: list[int], pairs: dict[int, tuple[int, int]]) -> Iterator[tuple[float, int, int, int]]:
         """(coefficient, first bigram, end, template) of ranges that reach the least coefficient; at: the places of
@@ -88,7 +96,7 @@ class Scanner:
             return []
         none = len(self.number)
         code = np.fromiter(map(self.number.get, words, repeat(none)), np.int64, len(words))
-        hit = np.flatnonzero(self.known[code[:-1], code[1:]])
+        hit = self.hits(code)
         if len(hit) < self.shared:
             return []
         pairs = dict(zip(hit.tolist(), zip(code[hit].tolist(), code[hit + 1].tolist())))
@@ -106,13 +114,25 @@ class Scanner:
         return sorted(taken, key=lambda m: m[2])
 
 
+_scanners: dict[tuple, Scanner] = {}
+
+
+def scanner_of(templates: list[tuple[str, str]], least: float) -> Scanner:
+    """This process's scanner of the templates, made once."""
+    key = (tuple(templates), least)
+    if key not in _scanners:
+        _scanners.clear()
+        _scanners[key] = Scanner(templates, least)
+    return _scanners[key]
+
+
 def scan_licences(docs: DataFrame, templates: list[tuple[str, str]] | None = None, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, matches (template, dice, word range and words) for every row of docs."""
     kind = pa.list_(pa.struct([("licence", pa.string()), ("dice", pa.float64()), ("start", pa.int32()), ("end", pa.int32()), ("words", pa.string())]))
-    told = list(TEMPLATES if templates is None else templates)
+    told = [tuple(t) for t in (TEMPLATES if templates is None else templates)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(told, least)
+        scanner = scanner_of(told, least)
         for b in batches:
             out = []
             for t in b.column(1).to_pylist():
