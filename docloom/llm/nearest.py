@@ -7,30 +7,38 @@ principle a code within radius r of a query is within t_i of it in some substrin
 r + 1 or more, so probing those buckets retrieves every code within r; the distance is verified and what is left is
 ranked by the inner product of the original vectors in double precision.
 
+Where a query's buckets together hold more rows than there are, all codes are verified instead of the buckets' lists.
+
 The radius is learned: it holds `cover` of the true neighbours of the sample's queries, found by brute force within
-the sample. More rows bring nearer neighbours, so recall does not fall with size. A query that finds fewer than k rows
-within the radius doubles it, until it has k or all.
+the sample. More rows bring nearer neighbours, so recall does not fall with size. Queries that find fewer than k rows
+within the radius search again with twice of it, until they have k or all.
 
-Rows are dealt into blocks by a hash, queries likewise; each pair of blocks meets once in a task of bounded size, and
-each query keeps its best k of every block. Every row is indexed.
+Every row is indexed once a block of queries: a task reads its share of the rows batch by batch, indexes each batch and
+keeps each query's best k over all of them, so what is shuffled is k rows a query and task, and there are as many tasks
+as the cluster runs at once, however many rows there are. Rows never move. Queries come in blocks of bounded bytes,
+each broadcast to the tasks and searched in one pass over the rows.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do those
 whose length is not that of most; a null id takes no part; rows that repeat an id are rows of their own, except that
-none with the query's id answers it; equal scores go to the smaller id; an empty table gives an empty result.
+none with the query's id answers it, and queries of their own, each with k answers; equal scores go to the smaller id;
+an empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Staged, ship
+from .common import Staged, map_arrow
 
 _BITS = 8  # of a substring
+_ROWS = 4096
 _VALUES = np.arange(256, dtype=np.uint8)
 _POP = np.bitwise_count(_VALUES)
 
@@ -131,34 +139,41 @@ class Index:
 
     def within(self, code: np.ndarray, word: np.ndarray, radius: int) -> np.ndarray:
         """Rows whose code is within the radius."""
-        marked = np.zeros(len(self.ids), bool)
-        for j, t in enumerate(self.thresholds(radius)):
-            if t < 0:
-                continue
-            probed = _POP[_VALUES ^ code[j]] <= t
-            n = self.size[j][probed]
-            total = int(n.sum())
-            if 4 * total > len(marked):  # most buckets: a row's own bucket tells as well as the lists do
-                marked |= probed[self.codes[:, j]]
-            elif total:
-                lo = self.start[j][:-1][probed]
-                marked[self.rows[j][np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(total)]] = True
-        at = np.flatnonzero(marked)
-        return at[distances(word, self.words[at]) <= radius]
-
-    def search(self, qid: int, q: np.ndarray, code: np.ndarray, word: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the best k rows found, nearest first."""
-        radius, most = self.model.radius, 8 * self.m
-        others = len(self.ids) - int((self.ids == qid).sum())
-        while True:
-            at = self.within(code, word, radius) if radius < most else np.arange(len(self.ids))
-            at = at[self.ids[at] != qid]
-            if len(at) >= min(k, others) or radius >= most:
-                break
-            radius = max(1, 2 * radius)
+        probes = [(j, _POP[_VALUES ^ code[j]] <= t) for j, t in enumerate(self.thresholds(radius)) if t >= 0]
+        if sum(int(self.size[j][p].sum()) for j, p in probes) >= len(self.ids):
+            at = np.arange(len(self.ids))
+        else:
+            marked = np.zeros(len(self.ids), bool)
+            for j, probed in probes:
+                n = self.size[j][probed]
+                if total := int(n.sum()):
+                    lo = self.start[j][:-1][probed]
+                    marked[self.rows[j][np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(total)]] = True
+            at = np.flatnonzero(marked)
+        return at[distances(word, self.words[at] if len(at) < len(self.ids) else self.words) <= radius]
+
+    def search(self, qid: int, q: np.ndarray, code: np.ndarray, word: np.ndarray, radius: int, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the best k rows within the radius, nearest first, of those that score `floor` or more."""
+        at = self.within(code, word, radius) if radius < 8 * self.m else np.arange(len(self.ids))
+        at = at[self.ids[at] != qid]
         s = (self.x[at] * q).sum(axis=1)
-        by = np.lexsort((self.ids[at], -s))[:k]
-        return self.ids[at][by], s[by]
+        good = np.flatnonzero(s >= floor)
+        by = good[np.lexsort((self.ids[at[good]], -s[good]))[:k]]
+        return self.ids[at[by]], s[by]
+
+
+@dataclass
+class Best:
+    """A query's best k so far."""
+
+    ids: np.ndarray
+    scores: np.ndarray
+
+    def add(self, ids: np.ndarray, scores: np.ndarray, k: int) -> None:
+        if len(ids):
+            ids, scores = np.concatenate((self.ids, ids)), np.concatenate((self.scores, scores))
+            by = np.lexsort((ids, -scores))[:k]
+            self.ids, self.scores = ids[by], scores[by]
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -174,42 +189,86 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def nearest(spark: SparkSession, vectors: DataFrame, every: int = 20, k: int = 20, sample: int = 4096, row_block: int = 16384, query_block: int = 1024, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: for every row whose id is divisible by `every`, its nearest k among all others."""
-    rows = Staged(spark).put(usable(vectors, id_col, vec_col), "nearest-rows")
+#: Bytes of a block of queries.
+QUERIES = 32 << 20
+
+
+def _found(rows: DataFrame, model: Codes, queries: pa.Table, radius: int, k: int, batch: int) -> DataFrame:
+    """rows: (vec_id, v). (q, query_id, vec_id, score): each query's best k within the radius of every task's rows."""
+    spark = rows.sparkSession
+    sent = spark.sparkContext.broadcast((model, queries["q"].to_numpy(), queries["vec_id"].to_numpy(), _matrix(queries["v"])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, number, ids, q = sent.value
+        codes = model(q, True)
+        words = words64(codes)
+        best = [Best(np.zeros(0, np.int64), np.zeros(0)) for _ in ids]
+
+        def take(held: list[pa.RecordBatch]) -> None:
+            index = Index(model, np.concatenate([b.column(0).to_numpy() for b in held]), np.concatenate([_matrix(b.column(1)) for b in held]))
+            for i, own in enumerate(best):
+                floor = own.scores[-1] if len(own.scores) == k else -np.inf
+                own.add(*index.search(int(ids[i]), q[i], codes[i], words[i], radius, k, floor), k)
+
+        held, n = [], 0
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                n += b.num_rows
+            if n >= batch:
+                take(held)
+                held, n = [], 0
+        if held:
+            take(held)
+        for i in range(0, len(best), _ROWS):
+            some = best[i : i + _ROWS]
+            owner = np.repeat(np.arange(i, i + len(some)), [len(x.ids) for x in some])
+            cols = [number[owner], ids[owner], np.concatenate([x.ids for x in some]), np.concatenate([x.scores for x in some])]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], ["q", "query_id", "vec_id", "score"])
+
+    return map_arrow(rows, run, "q long, query_id long, vec_id long, score double")
+
+
+def nearest(spark: SparkSession, vectors: DataFrame, every: int = 20, k: int = 20, sample: int = 4096, batch: int = 16384, queries: int | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """query_id, rank, vec_id, score: for every row whose id is divisible by `every`, its nearest k among all others.
+    batch: rows indexed at once; queries: queries of a block (of QUERIES bytes, if None)."""
+    kept = Staged(spark)
+    tasks = max(1, spark.sparkContext.defaultParallelism)
+    rows = rows_at = kept.put(usable(vectors, id_col, vec_col).repartition(tasks), "nearest-rows")
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dims = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     if not dims:
         return empty
-    rows = rows.where(F.size("v") == dims[0]["d"])
+    d = dims[0]["d"]
+    rows = rows.where(F.size("v") == d)
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    asked = rows.where(F.col("vec_id") % every == 0)
     n, top, nq = rows.agg(F.count("*"), F.max(norm), F.count_if(F.col("vec_id") % every == 0)).first()
     if not nq:
         return empty
     picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()  # bounded by `sample`
     model = learn(_matrix(picked["v"]), float(top), k)
-    row_blocks, query_blocks = -(-n // row_block), -(-nq // query_block)
-    deal = lambda c, m: F.pmod(F.xxhash64(F.lit(7), c), F.lit(m)).cast("int")
-    left = asked.select("vec_id", "v", deal(F.col("vec_id"), query_blocks).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("rb"))
-    right = rows.select("vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"), deal(F.col("vec_id"), row_blocks).alias("rb"))
-
-    def meet(queries: pa.Table, block: pa.Table) -> pa.Table:
-        out: tuple[list, list, list] = ([], [], [])
-        if len(queries) and len(block):
-            index = Index(model, block["vec_id"].to_numpy(), _matrix(block["v"]))
-            ids, q = queries["vec_id"].to_numpy(), _matrix(queries["v"])
-            codes = model(q, True)
-            words = words64(codes)
-            for i in range(len(ids)):
-                near, s = index.search(int(ids[i]), q[i], codes[i], words[i], k)
-                out[0].append(np.full(len(near), ids[i]))
-                out[1].append(near)
-                out[2].append(s)
-        cols = [np.concatenate(c) if c else np.zeros(0) for c in out]
-        return pa.table({"query_id": pa.array(cols[0].astype(np.int64)), "vec_id": pa.array(cols[1].astype(np.int64)), "score": pa.array(cols[2].astype(np.float64))})
-
-    ship(spark)
-    found = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(meet, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    size = queries or max(1, QUERIES // (8 * d))
+    asked = rows.where(F.col("vec_id") % every == 0).select(F.monotonically_increasing_id().alias("q"), "vec_id", "v")
+    asked = kept.put(asked.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(-(-nq // size)))), "nearest-queries")
+    radius, most, done = model.radius, sum(t.shape[1] for t in model.turns), []
+    while True:
+        blocks = [r[0] for r in asked.groupBy("block").count().orderBy("block").select("block").collect()]
+        found = [kept.put(_found(rows.coalesce(tasks), model, asked.where(F.col("block") == b).select("q", "vec_id", "v").toArrow(), radius, k, batch), "nearest-found") for b in blocks]
+        if not found:
+            break
+        best = reduce(DataFrame.unionByName, found)
+        rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
+        best = kept.put(best.withColumn("rank", rank).where(F.col("rank") <= k), "nearest-best")
+        for f in found:
+            kept.drop(f)
+        done.append(best)
+        if radius >= most:
+            break
+        # rows with the query's own id don't count, so a few queries may search on in vain until the radius holds all
+        full = best.where(F.col("rank") == k).select("q")
+        asked = kept.put(asked.join(full, "q", "left_anti"), "nearest-queries")
+        radius = min(most, max(1, 2 * radius))
+    kept.drop(rows_at)
+    last = reduce(DataFrame.unionByName, [b.withColumn("turn", F.lit(i)) for i, b in enumerate(done)])
+    newest = F.max("turn").over(Window.partitionBy("q"))
+    return last.withColumn("newest", newest).where("turn = newest").select("query_id", "rank", "vec_id", "score")

@@ -41,7 +41,35 @@ def test_largest_inner_product_with_unequal_norms(spark):
     rng = np.random.default_rng(2)
     rows = [(i, (rng.standard_normal(12) * rng.uniform(0.2, 3)).tolist()) for i in range(600)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
-    assert recall(answers(nearest.nearest(spark, df, k=10, row_block=150, query_block=10)), by_hand(rows, 20, 10)) >= 0.9
+    assert recall(answers(nearest.nearest(spark, df, k=10, batch=150, queries=10)), by_hand(rows, 20, 10)) >= 0.9
+
+
+def test_few_within_the_radius(spark, monkeypatch):
+    """Queries far from all others search on until they have k."""
+    learn = nearest.learn
+
+    def narrow(*a):
+        c = learn(*a)
+        c.radius = 1
+        return c
+
+    monkeypatch.setattr(nearest, "learn", narrow)
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.standard_normal(16).tolist()) for i in range(300)] + [(40, rng.standard_normal(16).tolist())]
+    got = nearest.nearest(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), k=5, batch=64).collect()
+    assert len(got) == 16 * 5  # id 40 is asked for twice
+    assert {r["query_id"] for r in got} == set(range(0, 300, 20)) and all(r["vec_id"] != r["query_id"] for r in got)
+
+
+def test_shuffle_grows_with_the_queries_alone(spark):
+    """Each task keeps k rows a query, however many batches it reads."""
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.standard_normal(8).tolist()) for i in range(2000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    model = nearest.learn(np.array([r[1] for r in rows[:500]]), 6.0, 4)
+    queries = df.where("vec_id % 100 = 0").selectExpr("vec_id as q", "vec_id", "embedding as v").toArrow()
+    for batch in (100, 5000):
+        assert nearest._found(df.selectExpr("vec_id", "embedding as v"), model, queries, 10**6, 4, batch).count() == 20 * 4 * 2
 
 
 def test_odd_vectors(spark):
