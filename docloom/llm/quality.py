@@ -3,7 +3,7 @@
 A word's features are the word and its character (byte) n-grams, hashed to buckets that carry learned vectors; a word's
 vector is their mean, a document's the mean over its words, and a softmax over two classes reads it. Pseudo-words mark
 a word that repeats the one before it or one seen shortly before, and a line that repeats, which single words can't
-show. Trained by stochastic gradient descent in numpy on the driver, on at most `bound` labelled rows outside the held-out
+show (`marks`; without them there are only words and n-grams). Trained by stochastic gradient descent in numpy on the driver, on at most `bound` labelled rows outside the held-out
 fold. As the output is linear in the document's vector, scoring keeps one number a bucket, and one a distinct word
 while a task lasts.
 
@@ -62,13 +62,15 @@ class _Numbers(dict):
         return n
 
 
-def word_codes(text: str, numbers: _Numbers) -> np.ndarray:
-    """Numbers of a text's words, in order, then one pseudo-word for each word and line."""
+def word_codes(text: str, numbers: _Numbers, marks: bool = True) -> np.ndarray:
+    """Numbers of a text's words, in order, then, with `marks`, one pseudo-word for each word and line."""
     words = text.split()
     n = len(words)
     if not n:
         return np.zeros(0, np.int64)
     code = np.fromiter(map(numbers.__getitem__, words), np.int64, n)
+    if not marks:
+        return code
     echo = np.zeros(n, bool)
     echo[1:] = code[1:] == code[:-1]
     by = np.argsort(code, kind="stable")
@@ -78,11 +80,11 @@ def word_codes(text: str, numbers: _Numbers) -> np.ndarray:
     near = (gap <= _NEAR) & ~echo
     lines = text.split("\n")
     again = len(lines) - len(set(lines))
-    marks = np.repeat([numbers[x] for x in (ECHO, NEAR, FRESH)], [echo.sum(), near.sum(), n - echo.sum() - near.sum()])
+    each = np.repeat([numbers[x] for x in (ECHO, NEAR, FRESH)], [echo.sum(), near.sum(), n - echo.sum() - near.sum()])
     # lines weigh as much as words together
     per = max(1, round(n / len(lines)))
     rows = np.repeat([numbers[SAME_LINE], numbers[NEW_LINE]], [again * per, (len(lines) - again) * per])
-    return np.concatenate((code, marks, rows))
+    return np.concatenate((code, each, rows))
 
 
 @dataclass
@@ -90,6 +92,7 @@ class QualityModel:
     buckets: int
     weight: np.ndarray  # what a bucket adds to the logit
     bias: float
+    marks: bool = True
 
     def words(self, words: list[str]) -> np.ndarray:
         owner, bucket = features(words, self.buckets)
@@ -100,26 +103,29 @@ class QualityModel:
 
 
 class Scorer:
-    """Scores texts, with a bounded table of the words met."""
+    """Scores texts, with a bounded table of the words met: it starts anew beyond `most` words or `most_chars`
+    characters in them."""
 
-    def __init__(self, model: QualityModel, most: int = 400_000):
-        self.model, self.most = model, most
+    def __init__(self, model: QualityModel, most: int = 400_000, most_chars: int = 8 << 20):
+        self.model, self.most, self.most_chars = model, most, most_chars
         self.clear()
 
     def clear(self) -> None:
         self.numbers = _Numbers()
         self.value = np.zeros(1 << 12)
-        self.known = 0
+        self.known = self.chars = 0
 
     def __call__(self, texts: list[str]) -> list[float]:
-        if len(self.numbers) > self.most:
+        if len(self.numbers) > self.most or self.chars > self.most_chars:
             self.clear()
-        codes = [word_codes(t, self.numbers) for t in texts]
+        codes = [word_codes(t, self.numbers, self.model.marks) for t in texts]
         n = len(self.numbers)
         if n > self.known:
             if n > len(self.value):
                 self.value = np.concatenate((self.value, np.zeros(max(n, len(self.value)))))
-            self.value[self.known : n] = self.model.words(_last(self.numbers, n - self.known))
+            new = _last(self.numbers, n - self.known)
+            self.chars += sum(map(len, new))
+            self.value[self.known : n] = self.model.words(new)
             self.known = n
         return [self.model.probability(self.model.bias + (float(self.value[c].mean()) if len(c) else 0.0)) for c in codes]
 
@@ -130,12 +136,12 @@ def _last(numbers: dict, n: int) -> list[str]:
     return [next(back) for _ in range(n)][::-1]
 
 
-def train(docs: list[np.ndarray], words: list[str], y: np.ndarray, buckets: int, dim: int = 8, epochs: int = 10, rate: float = 0.6, seed: int = 5) -> QualityModel:
-    """docs: word numbers of each document."""
+def train(docs: list[np.ndarray], words: list[str], y: np.ndarray, buckets: int, dim: int = 8, epochs: int = 10, rate: float = 0.6, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """docs: word numbers of each document. (vectors of the buckets, output vectors of the two classes, their biases)."""
     share = float(y.mean()) if len(y) else 0.5
     if not len(y) or share in (0.0, 1.0):
         p = min(max(share, 1e-6), 1 - 1e-6)
-        return QualityModel(buckets, np.zeros(buckets, np.float32), math.log(p / (1 - p)))
+        return np.zeros((buckets, dim), np.float32), np.zeros((2, dim), np.float32), np.log(np.array([1 - p, p]))
     owner, flat = features(words, buckets)
     flat = flat[np.argsort(owner, kind="stable")]
     size = np.bincount(owner, minlength=len(words))
@@ -171,17 +177,19 @@ def train(docs: list[np.ndarray], words: list[str], y: np.ndarray, buckets: int,
             bias -= step * np.float32(0.1) * p
             # rows move by their share of the text, relative to the text's largest share, as an average would hardly move
             vectors[bucket] = own - step * np.outer(weight * np.float32(1.0 / max(float(weight @ weight), 1e-6) ** 0.5), back)
-    w = out[1] - out[0]
-    return QualityModel(buckets, vectors @ w, float(bias[1] - bias[0]))
+    return vectors, out, bias
 
 
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = FOLDS, held: int = HELD, bound: int = 4000, buckets: int = 1 << 17, **how) -> QualityModel:
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = FOLDS, held: int = HELD, bound: int = 4000, buckets: int = 1 << 17, marks: bool = True, **how) -> QualityModel:
     """docs: (doc_id, text). The sample comes to the driver one partition at a time."""
-    rows = Staged(spark).put(training_rows(docs, labels, label_col, folds, held, bound), "quality-rows")
+    rows = training_rows(docs, labels, label_col, folds, held, bound)
     numbers = _Numbers()
-    seen = [(r["doc_id"], r["y"], word_codes(r["text"], numbers)) for r in rows.toLocalIterator()]
+    seen = [(r["doc_id"], r["y"], word_codes(r["text"], numbers, marks)) for r in rows.toLocalIterator()]
+    Staged(spark).drop(rows)
     seen.sort(key=lambda r: r[0])
-    return train([r[2] for r in seen], list(numbers), np.array([r[1] for r in seen], np.int64), buckets, **how)
+    vectors, out, bias = train([r[2] for r in seen], list(numbers), np.array([r[1] for r in seen], np.int64), buckets, **how)
+    # the softmax of two classes depends on the difference of their logits, and that is linear in the mean
+    return QualityModel(buckets, vectors @ (out[1] - out[0]), float(bias[1] - bias[0]), marks)
 
 
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:
