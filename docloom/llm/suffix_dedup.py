@@ -40,11 +40,14 @@ _HIGH = ~_LOW
 
 
 class _Roller:
-    """Rolling hash of k-grams, all positions at once: a polynomial over a random byte table, modulo 2**64."""
+    """Rolling hash of k-grams, all positions at once: a polynomial over a random byte table, modulo 2**64. With a
+    `unit` of 8 bytes, which are hashes already, positions are multiples of it and k-grams of k // 8 such symbols."""
 
-    def __init__(self, k: int):
+    def __init__(self, k: int, unit: int = 1):
+        if unit not in (1, 8):
+            raise ValueError("a unit is a byte or 8 of them")
         base = 0x9E3779B97F4A7C15
-        self.k = k
+        self.k, self.unit = k // unit, unit
         self.table = np.random.default_rng(20).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
         self.base, self.back = base, pow(base, -1, 1 << 64)
         self.up = self.down = np.ones(1, np.uint64)
@@ -62,7 +65,7 @@ class _Roller:
         self.powers(n)
         s = np.empty(n + 1, np.uint64)
         s[0] = 0
-        np.cumsum(self.table[data] * self.up[:n], out=s[1:])
+        np.cumsum((self.table[data] if self.unit == 1 else data) * self.up[:n], out=s[1:])
         h = (s[self.k :] - s[: -self.k]) * self.down[: n - self.k + 1]
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
@@ -83,11 +86,13 @@ def _least(v: np.ndarray, w: int) -> np.ndarray:
 
 def anchors_of(text: bytes, length: int, roller: _Roller) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchor position, first window, last window) of every run of windows that name the same anchor."""
-    k = roller.k
-    w = length - k + 1
+    unit = roller.unit
+    n = length // unit
+    w = n - roller.k + 1
     out = []
-    for base in range(0, len(text) - length + 1, _BLOCK):
-        data = np.frombuffer(text, np.uint8, min(_BLOCK + length - 1, len(text) - base), base)
+    whole = np.frombuffer(text, np.uint8 if unit == 1 else "<u8")
+    for base in range(0, len(whole) - n + 1, _BLOCK):
+        data = whole[base : base + _BLOCK + n - 1]
         h = roller(data)
         named = _LOW - (_least((h & _HIGH) | (_LOW - np.arange(len(h), dtype=np.uint64)), w) & _LOW)
         first = np.flatnonzero(np.concatenate(([True], named[1:] != named[:-1])))
@@ -96,7 +101,12 @@ def anchors_of(text: bytes, length: int, roller: _Roller) -> tuple[np.ndarray, n
     if not out:
         none = np.zeros(0, np.int64)
         return none, none, none
-    return tuple(np.concatenate(x) for x in zip(*out))
+    return tuple(np.concatenate(x) * unit for x in zip(*out))
+
+
+def _hashed(text: bytes) -> bytes:
+    """A text as the 8-byte hashes of its words."""
+    return b"".join(map(xxhash.xxh64_digest, text.split()))
 
 
 _i64 = lambda x: x - (1 << 64) if x >> 63 else x
@@ -183,14 +193,15 @@ def repeated_starts(segments: list[tuple[bytes, int, int, int]], length: int) ->
     return out
 
 
-def _anchors(rows: DataFrame, length: int, k: int) -> DataFrame:
+def _anchors(rows: DataFrame, length: int, k: int, unit: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roller = _Roller(k)
+        roller = _Roller(k, unit)
         digest = xxhash.xxh3_64_intdigest
         for b in batches:
             counts, cols = [], [[], [], []]
             h, g = [], []
             for t in as_bytes(b.column(2)):
+                t = t if unit == 1 else _hashed(t)
                 pos, lo, hi = anchors_of(t, length, roller)
                 counts.append(len(pos))
                 if len(pos):
@@ -205,14 +216,23 @@ def _anchors(rows: DataFrame, length: int, k: int) -> DataFrame:
     return map_arrow(rows, run, "doc_id long, t long, pos long, far int, near int, h long, g long", TEXTS)
 
 
-def _segments(wanted: DataFrame, length: int) -> DataFrame:
-    """wanted: text and the list `at` of its anchors. One row for each, with the segment's bytes."""
+def _segments(wanted: DataFrame, length: int, unit: int) -> DataFrame:
+    """wanted: text, the list `at` of its anchors, rid and rt. One row for each anchor, with the segment's bytes. Rows
+    that repeat id and text want the same: a task answers once; what it remembers are rows of the list of anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
         for b in batches:
+            new = []
+            for i, key in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
+                if key not in seen:
+                    seen.add(key)
+                    new.append(i)
+            if len(new) < b.num_rows:
+                b = b.take(pa.array(new, pa.int64()))
             at = b.column(1)
             each = at.flatten()
-            texts = as_bytes(b.column(0))
+            texts = [t if unit == 1 else _hashed(t) for t in as_bytes(b.column(0))]
             owner = np.repeat(np.arange(len(texts)), at.value_lengths().to_numpy(zero_copy_only=False))
             pos, far, near = (each.field(n).to_numpy(zero_copy_only=False) for n in ("pos", "far", "near"))
             size = 0
@@ -328,24 +348,27 @@ def columns(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds.values())], list(kinds))
 
 
-def repeated_spans(spark: SparkSession, rows: DataFrame, length: int = 400, k: int = 64, most: int = 512) -> DataFrame:
-    """rows: (doc_id, t, text). (doc_id, t, starts), starts being the list of ranges of window starts that are repeated."""
+def repeated_spans(spark: SparkSession, rows: DataFrame, length: int = 400, k: int = 64, most: int = 512, unit: int = 1) -> DataFrame:
+    """rows: (doc_id, t, text). (doc_id, t, starts), starts being the list of ranges of window starts that are repeated.
+    With a `unit` of 8, texts are read as the 8-byte hashes of their words, and windows begin at one of them."""
     kept = Staged(spark)
-    found = kept.put(_anchors(rows, length, k), "suffix-anchors")
+    found = kept.put(_anchors(rows, length, k, unit), "suffix-anchors")
     shared = found.groupBy("h").agg(F.count("*").alias("c"), F.min("g").alias("g0"), F.max("g").alias("g1")).where("c > 1")
     shared = kept.put(shared.select("h", (F.col("g0") != F.col("g1")).alias("mixed")), "suffix-shared")
     some = kept.put(found.join(shared, "h"), "suffix-candidates")
     kept.drop(found)
+    kept.drop(shared)
     alike = some.where("not mixed").select("doc_id", "t", (F.col("pos") - F.col("far")).alias("lo"), (F.col("pos") - F.col("near")).alias("hi"))
     mixed = some.where("mixed").drop("mixed")
     first = F.min(F.struct("doc_id", "t", "pos", "far", "near")).alias("r")
     reps = kept.put(mixed.groupBy("h", "g").agg(F.count("*").alias("n"), first).select("h", "g", "n", "r.*"), "suffix-representatives")
     listed = reps.groupBy("doc_id", "t").agg(F.collect_list(F.struct("h", "g", "n", "pos", "far", "near")).alias("at"))
     listed = listed.select(F.col("doc_id").alias("rid"), F.col("t").alias("rt"), "at")
-    wanted = rows.join(listed, rows["doc_id"].eqNullSafe(listed["rid"]) & (rows["t"] == listed["rt"])).select("text", "at")
-    segments = kept.put(_segments(wanted, length), "suffix-segments")
+    wanted = rows.join(listed, rows["doc_id"].eqNullSafe(listed["rid"]) & (rows["t"] == listed["rt"])).select("text", "at", "rid", "rt")
+    segments = kept.put(_segments(wanted, length, unit), "suffix-segments")
     parts = F.ceil(F.col("count") / most).cast("int").alias("parts")
     large = kept.put(reps.groupBy("h").count().where(F.col("count") > most).select("h", parts), "suffix-large")
+    kept.drop(reps)
     wide = not large.isEmpty()
     placed = segments.join(large, "h", "left") if wide else segments.withColumn("parts", F.lit(None).cast("int"))
     placed = placed.withColumn("part", F.coalesce(F.pmod(F.xxhash64("g"), F.col("parts")).cast("int"), F.lit(0)))
@@ -363,29 +386,41 @@ def repeated_spans(spark: SparkSession, rows: DataFrame, length: int = 400, k: i
         hits = windows.where("once").join(often, ["h", "d", "w"]).select("h", "g", "d", apart.alias("run"))
         said = said.unionByName(hits.groupBy("h", "g", "run").agg(F.max("d").alias("a"), F.min("d").alias("b")).drop("run"))
     said = kept.put(said, "suffix-answers")
+    for old in (segments, large, *((hot, cores, windows, often) if wide else ())):
+        kept.drop(old)
     differ = mixed.join(said, ["h", "g"]).select("doc_id", "t", (F.col("pos") - F.col("a")).alias("lo"), (F.col("pos") - F.col("b")).alias("hi"))
     spans = alike.unionByName(differ).groupBy("doc_id", "t").agg(F.collect_set(F.struct("lo", "hi")).alias("starts"))
-    return kept.put(spans, "suffix-spans")
+    spans = kept.put(spans, "suffix-spans")
+    kept.drop(some)
+    kept.drop(said)
+    return spans
+
+
+def _runs(ranges: list[tuple[int, int]], length: int) -> list[list[int]]:
+    """The union of the windows that start in the ranges, as [start, end) runs."""
+    runs: list[list[int]] = []
+    for x, y in sorted(ranges):
+        if runs and x <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], y + length)
+        else:
+            runs.append([x, y + length])
+    return runs
+
+
+def _word_runs(ranges, words: int) -> list[list[int]]:
+    """Of ranges of window starts among 8-byte word hashes, the runs of words."""
+    return _runs([(-(-r["lo"] // 8), r["hi"] // 8) for r in ranges or ()], words)
 
 
-def _cut(rows: DataFrame, length: int) -> DataFrame:
-    """rows: (doc_id, text, starts or null)."""
+def _cut(rows: DataFrame, length: int, words: int) -> DataFrame:
+    """rows: (doc_id, text, starts or null, worded or null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, removed, spans, texts, where = [], [], [], [], []
-            for t, ranges in zip(as_bytes(b.column(1)), b.column(2)):
+            sizes, removed, spans, texts, where, passages, covered = [], [], [], [], [], [], []
+            for t, ranges, worded in zip(as_bytes(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist()):
                 sizes.append(len(t))
-                runs: list[list[int]] = []
-                if ranges.is_valid and len(ranges):
-                    each = ranges.values
-                    lo, hi = (each.field(n).to_numpy(zero_copy_only=False) for n in ("lo", "hi"))
-                    by = np.argsort(lo, kind="stable")
-                    for x, y in zip(lo[by].tolist(), hi[by].tolist()):
-                        if runs and x <= runs[-1][1]:
-                            runs[-1][1] = max(runs[-1][1], y + length)
-                        else:
-                            runs.append([x, y + length])
+                runs = _runs([(r["lo"], r["hi"]) for r in ranges or ()], length)
                 removed.append(sum(y - x for x, y in runs))
                 spans.append(len(runs))
                 at, left = 0, []
@@ -395,29 +430,38 @@ def _cut(rows: DataFrame, length: int) -> DataFrame:
                 left.append(t[at:])
                 texts.append(b"".join(left) if runs else t)
                 where.append([{"start": x, "end": y} for x, y in runs])
+                said = _word_runs(worded, words)
+                passages.append(len(said))
+                covered.append(sum(y - x for x, y in said))
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.record_batch([b.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(texts, pa.binary()), pa.array(where, kind)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans"])
+            counts = [pa.array(x, pa.int64()) for x in (sizes, removed, spans)]
+            yield pa.record_batch(
+                [b.column(0), *counts, pa.array(texts, pa.binary()), pa.array(where, kind), pa.array(passages, pa.int64()), pa.array(covered, pa.int64())],
+                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans", "n_passages", "n_passage_words"],
+            )
 
-    return map_arrow(rows, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:long,end:long>>", TEXTS)
-
-
-def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 400, k: int = 64, most: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (bytes), spans (byte ranges removed), one row for each row of docs."""
-    rows = id_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("t"), "text")
-    spans = repeated_spans(spark, rows, length, k, most).select(F.col("doc_id").alias("sid"), F.col("t").alias("st"), "starts")
-    both = rows.join(spans, rows["doc_id"].eqNullSafe(spans["sid"]) & (rows["t"] == spans["st"]), "left")
-    return _cut(both.select("doc_id", "text", "starts"), length)
+    return map_arrow(rows, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:long,end:long>>, n_passages long, n_passage_words long", TEXTS)
 
 
-def _word_hashes(rows: DataFrame) -> DataFrame:
-    """rows: (doc_id, t, text). Each text as the 8-byte hashes of its words."""
+def _spans(spark: SparkSession, rows: DataFrame, length: int, words: int | None, k: int = 64, most: int = 512) -> DataFrame:
+    """(sid, st, starts, worded): repeated windows of `length` bytes and, with `words`, of so many words."""
+    spans = repeated_spans(spark, rows, length, k, most).withColumn("by_word", F.lit(False))
+    if words:
+        # of short windows no k-gram of 8 words can be named
+        by_word = repeated_spans(spark, rows, 8 * words, 8 * min(8, words), most, 8)
+        spans = spans.unionByName(by_word.withColumn("by_word", F.lit(True)))
+    of = lambda by_word: F.first(F.when(F.col("by_word") == by_word, F.col("starts")), ignorenulls=True)
+    return spans.groupBy(F.col("doc_id").alias("sid"), F.col("t").alias("st")).agg(of(False).alias("starts"), of(True).alias("worded"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [b"".join(map(xxhash.xxh64_digest, t.split())) for t in as_bytes(b.column(2))]
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(texts, pa.binary())], ["doc_id", "t", "text"])
 
-    return map_arrow(rows, run, "doc_id long, t long, text binary", TEXTS)
+def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 400, k: int = 64, most: int = 512, words: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept (bytes), spans (byte ranges removed), n_passages, n_passage_words, one
+    row for each row of docs. The last two report, with `words`, the maximal runs of words (apart by any of
+    [\\x20\\x09-\\x0D]) in strings of so many words that also start elsewhere; nothing is removed for them."""
+    rows = id_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("t"), "text")
+    spans = _spans(spark, rows, length, words, k, most)
+    both = rows.join(spans, rows["doc_id"].eqNullSafe(spans["sid"]) & (rows["t"] == spans["st"]), "left")
+    return _cut(both.select("doc_id", "text", "starts", "worded"), length, words or 1)
 
 
 def cut_texts(spark: SparkSession, docs: DataFrame, length: int = 400, words: int | None = None, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
@@ -427,11 +471,7 @@ def cut_texts(spark: SparkSession, docs: DataFrame, length: int = 400, words: in
     the text's new length in code points."""
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
-    spans = repeated_spans(spark, rows, length).withColumn("by_word", F.lit(False))
-    if words:
-        spans = spans.unionByName(repeated_spans(spark, _word_hashes(rows), 8 * words).withColumn("by_word", F.lit(True)))
-    of = lambda by_word: F.first(F.when(F.col("by_word") == by_word, F.col("starts")), ignorenulls=True)
-    spans = spans.groupBy(F.col("doc_id").alias("__sid"), F.col("t").alias("__st")).agg(of(False).alias("__starts"), of(True).alias("__words"))
+    spans = _spans(spark, rows, length, words).withColumnsRenamed({"sid": "__sid", "st": "__st", "starts": "__starts", "worded": "__words"})
     both = docs.join(spans, docs[id_col].cast("long").eqNullSafe(spans["__sid"]) & (F.xxhash64(text) == spans["__st"]), "left")
     both = both.drop("__sid", "__st")
     at, last = docs.columns.index(text_col), len(docs.columns)
@@ -444,8 +484,8 @@ def cut_texts(spark: SparkSession, docs: DataFrame, length: int = 400, words: in
             for i, (ranges, worded) in enumerate(zip(b.column(last).to_pylist(), b.column(last + 1).to_pylist())):
                 if ranges or worded:
                     keep = np.ones(len(raw := texts[i].encode()), bool)
-                    for r in ranges or ():
-                        keep[r["lo"] : r["hi"] + length] = False
+                    for x, y in _runs([(r["lo"], r["hi"]) for r in ranges or ()], length):
+                        keep[x:y] = False
                     place = [m.span() for m in _WORD.finditer(raw)] if worded else []
                     for r in worded or ():
                         keep[place[-(-r["lo"] // 8)][0] : place[r["hi"] // 8 + words - 1][1]] = False

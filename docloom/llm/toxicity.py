@@ -159,7 +159,7 @@ def _counts(rows: DataFrame) -> DataFrame:
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int = FOLDS, held: int = HELD, bound: int = 20_000, prior: float = 0.1, least_z: float = 3.0, drift: float = 0.5) -> ToxicityModel:
     """docs: (doc_id, text). What comes to the driver is bounded by the sample."""
     kept = Staged(spark)
-    rows = kept.put(training_rows(docs, labels, label_col, folds, held, bound), "toxicity-rows")
+    rows = training_rows(docs, labels, label_col, folds, held, bound)
     counts = kept.put(_counts(rows).groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "toxicity-counts")
     n = {r["k"]: (r["t"] or 0, r["c"] or 0) for r in counts.groupBy((F.col("word") == "").alias("k")).agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).collect()}
     n_t, n_c = n.get(False, (0, 0))
@@ -194,6 +194,8 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, label_col: str
     seen = map_arrow(rows.select("text", "y"), again, "x double, y int", TEXTS).toPandas().sort_values(["x", "y"])
     model.slope, model.offset = logistic(np.clip(seen["x"].to_numpy(), -20, 40), seen["y"].to_numpy().astype(float))
     model.fitted = True
+    kept.drop(rows)
+    kept.drop(counts)
     return model
 
 

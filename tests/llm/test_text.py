@@ -189,6 +189,63 @@ def test_toxicity_held_out(spark):
     assert right >= 0.93 and wrong <= 2
 
 
+def test_chunk_table_is_bounded_by_characters(lib):
+    """Texts without blanks are one chunk each."""
+    with open(MODEL, "rb") as f:
+        table = pieces.ChunkTable(f.read(), most_chars=5000)
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcdefé你") for _ in range(rng.randint(1, 3000))) for _ in range(40)]
+    for t in texts:
+        words = [pieces.marked_words(t)]
+        ends, flat = table.encode(words)
+        assert flat.tolist() == lib.encode(t) and table.decode(words[0]) == lib.decode(lib.encode(t)) and ends.tolist() == [0, len(flat)]
+        assert table.chars <= 5000 + len(t) and sum(map(len, table.index)) == table.chars
+
+
+def test_hot_rows_are_dealt_over_all_packs(spark):
+    """A third of all rows have no id and one text, another third one id and one text."""
+    rows = [(None, "same text", "s")] * 800 + [(7, "another text", "s")] * 800 + [(i, prose(i, 9), f"s{i % 90}") for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = packing.best_fit(spark, df, MODEL, capacity=64, pack=200).collect()
+    sizes = Counter(r["bin_id"] >> 32 for r in got if r["part"] == 0)
+    assert sum(sizes.values()) == 2400 and len(sizes) == 12 and max(sizes.values()) < 300
+    assert all(n == 1 for n in Counter(r["bin_id"] for r in got if r["doc_id"] == 7).values())
+
+
+@pytest.mark.parametrize("marks", [True, False])
+def test_quality_score_by_hand(marks):
+    """A score is the softmax of the output over the mean of the words' vectors, each the mean of its features'."""
+    rng, buckets = random.Random(5), 512
+    texts = [prose(i, rng.randint(1, 40)) + (" same" * rng.randint(0, 9)) + "\nline\nline" * (i % 3) for i in range(60)] + ["", " \n"]
+    numbers = quality._Numbers()
+    codes = [quality.word_codes(t, numbers, marks) for t in texts]
+    words = list(numbers)
+    assert marks or set(words) == {w for t in texts for w in t.split()}
+    vectors, out, bias = quality.train(codes, words, np.array([int(" same" in t) for t in texts]), buckets)
+    assert np.abs(vectors).max() > 0.01 and np.abs(out).max() > 0.01
+    scorer = quality.Scorer(quality.QualityModel(buckets, vectors @ (out[1] - out[0]), float(bias[1] - bias[0]), marks), most_chars=50)
+    got = [p for t in texts for p in scorer([t])]
+    for code, p in zip(codes, got):
+        mean = np.zeros(vectors.shape[1])
+        for c in code:
+            owner, bucket = quality.features([words[c]], buckets)
+            assert set(owner) == {0}
+            mean += vectors[bucket].astype(float).mean(axis=0) / len(code)
+        logit = out.astype(float) @ mean + bias
+        want = np.exp(logit - logit.max())
+        assert p == pytest.approx(want[1] / want.sum(), abs=1e-5)
+
+
+def test_training_rows_are_bounded(spark):
+    from docloom.llm.labels import training_rows
+
+    docs = spark.createDataFrame([(1, "x" * 50)] * 300 + [(i, "y" * 10) for i in range(2, 40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 40)], "doc_id long, quality int")
+    rows = training_rows(docs, labels, "quality", 1000, 999, 30).collect()
+    assert len(rows) == 30 == len({r["doc_id"] for r in rows})
+    assert 0 < sum(len(r["text"]) for r in training_rows(docs, labels, "quality", 1000, 999, 30, chars=120).collect()) <= 120
+
+
 @pytest.mark.parametrize("module", [quality, toxicity])
 def test_classifiers_on_odd_rows(spark, odd, none, module):
     some = spark.createDataFrame([(i, i % 2, i % 2) for i in range(12)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
