@@ -268,7 +268,7 @@ class Collection:
         def change(df: DataFrame, m: Manifest) -> dict[str, Any]:
             tiers: dict[int, list[dict[str, Any]]] = {}
             for p in m.parts:
-                if p["bytes"] < LARGE and not (self.store.rows and p["n"] > self.store.rows // 2):
+                if p["bytes"] < LARGE and p["n"] <= self.store.rows // 2:
                     tiers.setdefault(round(math.log(p["n"], max(2, fan))), []).append(p)
             small = [p for tier in tiers.values() if len(tier) >= fan for p in tier]
             gone[:] = [len(small)]

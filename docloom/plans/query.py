@@ -16,6 +16,8 @@ from . import criteria as C
 
 #: Order of insertion, the tie-break of every sort, where a collection has it.
 POSITION = "_pos"
+#: Rows to pass over from which they are counted, and the ranges of a count.
+DEEP, BINS = 10_000, 1024
 
 
 @dataclass(frozen=True)
@@ -68,14 +70,65 @@ class Query:
         return df.orderBy(*keys) if keys else df
 
     def execute(self, df: DataFrame) -> DataFrame:
-        out = self.ordered(self.filtered(df))
-        if self.skipped:
-            out = out.offset(self.skipped)
+        """Lazy, but for a skip from DEEP on: what it passes over is counted first, and never sorted."""
+        out = self.filtered(df)
+        deep = self.skipped >= DEEP and self.order and self.limited != 0
+        cut = past(out, *self.order[0], self.skipped) if deep else None
+        if cut is None:
+            out = self.ordered(out)
+            if self.skipped:
+                out = out.offset(self.skipped)
+        else:
+            some, skip, rest = cut
+            out = self.ordered(self.ordered(some).offset(skip).unionByName(rest))
         if self.limited is not None:
             out = out.limit(self.limited)
         return project(out, self.fields, self.excluded) if self.fields else out
 
 
+def past(df: DataFrame, path: str, way: int, skip: int) -> tuple[DataFrame, int, DataFrame] | None:
+    """(rows, rows of these to pass over, rows that all come after): what is left after a skip in the order of a field,
+    the first rows being few or equal in it. None for fields that are no number or date.
+
+    The field's range is cut into BINS, the bin that holds the place into as many again, and so on: each turn counts one
+    column, and a row for each bin comes to the driver."""
+    f = field(df.schema, path)
+    if f.kind == "number":
+        place = f.col.cast("double")
+    elif f.kind == "date":
+        micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), f.col) if isinstance(f.dtype, T.TimestampNTZType) else F.unix_micros(f.col.cast("timestamp"))
+        place = micros.cast("double")
+    else:
+        return None
+    key, there = f.col, f.col.isNotNull()
+    ends = [F.min(key).alias("lo"), F.max(key).alias("hi"), F.min(place).alias("a"), F.max(place).alias("b")]
+    at = df.agg(F.count_if(~there).alias("nulls"), F.count(key).alias("n"), F.count_if(F.isnan(place)).alias("odd"), *ends).first()
+    if at["odd"]:
+        return None
+    none = df.where(F.lit(False))
+    if way == 1 and skip < at["nulls"]:
+        return df.where(~there), skip, df.where(there)
+    if way == -1 and skip >= at["n"]:
+        return df.where(~there), skip - at["n"], none
+    skip -= at["nulls"] if way == 1 else 0
+    if skip >= at["n"]:
+        return none, 0, none
+    while at["n"] > DEEP and at["a"] < at["b"]:
+        width = (at["b"] - at["a"]) / BINS
+        inside = df.where(key.between(F.lit(at["lo"]), F.lit(at["hi"])))
+        bins = inside.groupBy(F.floor((place - F.lit(at["a"])) / F.lit(width)).alias("bin")).agg(F.count("*").alias("n"), *ends).collect()
+        before = at
+        for at in sorted(bins, key=lambda r: way * r["bin"]):
+            if skip < at["n"]:
+                break
+            skip -= at["n"]
+        if at["n"] == before["n"]:
+            break
+    lo, hi = F.lit(at["lo"]), F.lit(at["hi"])
+    rest = df.where(key > hi) if way == 1 else df.where((key < lo) | ~there)
+    return df.where(key.between(lo, hi)), skip, rest
+
+
 def sort_keys(schema: T.StructType, path: str, way: int) -> list[Column]:
     """Missing values come first in ascending and last in descending order. Variants sort by number (dates by their
     instant), then by text."""

@@ -28,6 +28,8 @@ from ..errors import DocumentError
 ROW = "_id string, _pos long, doc variant"
 #: Versions between two searches for what may go.
 _SWEEP = 16
+#: Rows of a file at most, where no number is given: what a change of one document writes anew.
+ROWS = 100_000
 
 
 class Files:
@@ -113,10 +115,11 @@ class Manifest:
 
 
 class Store:
-    """One collection's versions under a folder. codec: a Parquet compression codec; rows: rows a file at most."""
+    """One collection's versions under a folder. codec: a Parquet compression codec; rows: rows a file at most
+    (0: ROWS)."""
 
     def __init__(self, spark: SparkSession, root: str, codec: str = "gzip", rows: int = 0, keep: float = 86400.0):
-        self.spark, self.files, self.codec, self.rows, self.keep = spark, Files(spark, root), codec, rows, keep
+        self.spark, self.files, self.codec, self.rows, self.keep = spark, Files(spark, root), codec, rows or ROWS, keep
 
     def manifest(self) -> Manifest:
         versions = sorted(n for n, folder in self.files.list() if not folder and n.startswith("manifest-") and n.endswith(".json"))
@@ -143,9 +146,7 @@ class Store:
     def write(self, df: DataFrame) -> list[dict[str, Any]]:
         """New files, not yet in any version."""
         folder = f"part-{uuid.uuid4().hex}"
-        writer = df.select("_id", "_pos", "doc").write.option("compression", self.codec)
-        if self.rows:
-            writer = writer.option("maxRecordsPerFile", self.rows)
+        writer = df.select("_id", "_pos", "doc").write.option("compression", self.codec).option("maxRecordsPerFile", self.rows)
         try:
             writer.parquet(f"{self.files.root}/{folder}")
             size = {n: b for n, _, b, _ in self.files.status(folder)}
