@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
@@ -53,6 +54,22 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Paths of staged tables, in order.
+_made: list[str] = []
+
+
+def staged() -> int:
+    """How many tables have been staged, as a mark for `finished`."""
+    return len(_made)
+
+
+def finished(spark: SparkSession, mark: int) -> None:
+    """Frees the tables staged since the mark, when all that was built on them has been written."""
+    for path in _made[mark:]:
+        _drop(spark, path)
+    del _made[mark:]
+
+
 class Staged:
     """Written tables of one operator call; each cuts lineage and survives the loss of an executor."""
 
@@ -62,6 +79,7 @@ class Staged:
     def put(self, df: DataFrame, label: str) -> DataFrame:
         path = scratch_path(self.spark, label)
         df.write.parquet(path)
+        _made.append(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._docloom_path = path
         return out
@@ -109,10 +127,23 @@ def map_arrow(df: DataFrame, run, schema, rows: int | None = None) -> DataFrame:
     what a worker holds of long texts."""
     ship(df.sparkSession)
 
-    def cut(batches):
-        return run(b.slice(i, rows) for b in batches for i in range(0, max(1, b.num_rows), rows))
+    def whole(batches):
+        cut = batches if rows is None else (b.slice(i, rows) for b in batches for i in range(0, max(1, b.num_rows), rows))
+        try:
+            yield from run(cut)
+        finally:
+            give_back()
+
+    return df.mapInArrow(whole, schema)
+
 
-    return df.mapInArrow(run if rows is None else cut, schema)
+def give_back() -> None:
+    """A worker waits for its next task with no more memory than it uses."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
 
 
 def as_bytes(column) -> list[bytes]:

@@ -5,7 +5,9 @@ from tests.conftest import DATA
 import corpus_pipeline as P
 from docloom.llm import simhash, toxicity
 from docloom.llm.common import id_and_text
-from tests.llm.test_dedup import components_by_hand, exact_by_hand, fingerprint_by_hand, repeats_by_hand
+from tests.llm.test_cut_words import cut_by_hand
+from tests.llm.test_dedup import exact_by_hand
+from tests.llm.test_near_copies import kept_by_hand
 
 rows = lambda df: [(r["doc_id"], r["text"]) for r in df.collect()]
 
@@ -24,11 +26,10 @@ def test_stages(spark):
     assert {i for i, _ in rows(first)} == {i for i, _, _, kept, _ in exact_by_hand(rows(clean)) if kept} and first.columns == docs.columns
 
     one = steps["SimHash near-dedup"](spark, first, DATA).cache()
-    hand = components_by_hand([(i, fingerprint_by_hand(t)) for i, t in rows(first)])
-    assert {i for i, _ in rows(one)} == {c for _, _, c in hand} and one.columns == docs.columns
+    assert {i for i, _ in rows(one)} == kept_by_hand(rows(first), 0.8) and one.columns == docs.columns
 
     short = steps["suffix-array dedup"](spark, one, DATA).cache()
-    want = {d: t.decode("utf-8", "ignore") for d, _, _, _, t in repeats_by_hand([(i, t.encode()) for i, t in rows(one)], 400)}
+    want = cut_by_hand(rows(one), words=51, length=400)
     assert dict(rows(short)) == want and short.columns == docs.columns
 
     bins = steps["best-fit packing"](spark, short, DATA)
