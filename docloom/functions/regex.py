@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
+
 
 def to_java(pattern: str, flags: str = "") -> str:
     """Translates what the two dialects read differently; raises ValueError for an invalid pattern or flag."""
@@ -39,7 +42,18 @@ def to_java(pattern: str, flags: str = "") -> str:
         i += 1
     if inside:
         raise ValueError("unterminated class")
-    return "".join(f"(?{f})" for f in "ims" if f in flags) + "".join(out)
+    return compiled("".join(f"(?{f})" for f in "ims" if f in flags) + "".join(out))
+
+
+def compiled(pattern: str) -> str:
+    """The pattern, if the JVM can read it, so that a bad one is an error before any row is read."""
+    sc = SparkContext._active_spark_context
+    if sc is not None:
+        try:
+            sc._jvm.java.util.regex.Pattern.compile(pattern)
+        except IllegalArgumentException as e:  # so PySpark names the JVM's own error
+            raise ValueError(str(e).split("\n")[0]) from None
+    return pattern
 
 
 def of(value: object, options: str = "") -> str:

@@ -159,12 +159,13 @@ class Collection:
         parts = self._append(batch, lambda df, start: (df.coalesce(1) if few else df).withColumn("_pos", F.lit(start) + F.col("_ord") * STRIDE))
         return D.to_values(self.store.frame(parts=parts).orderBy("_pos"))
 
-    def insert_df(self, df: DataFrame) -> int:
-        """Bulk insert of a table (or of _id and a variant doc); the number of documents. Nothing passes the driver."""
+    def insert_df(self, df: DataFrame, batch_of: tuple[str, int] | None = None) -> int:
+        """Bulk insert of a table (or of _id and a variant doc); the number of documents. Nothing passes the driver.
+        batch_of: a stream and the number of its batch, which is inserted once however often it comes."""
         batch = df.select((F.col("_id") if "_id" in df.columns else F.lit(None)).cast("string").alias("_id"), DOC) if DOC in df.columns else D.from_typed(df)
         batch = self._prepared(batch, lambda e: e)
         batch = batch.withColumn("_id", F.coalesce("_id", ids.new_ids(self.id_type)))
-        return sum(p["n"] for p in self._append(batch, positions))
+        return sum(p["n"] for p in self._append(batch, positions, batch_of))
 
     def update_by_id(self, id: str, update: dict[str, Any]) -> dict[str, Any] | None:
         self._check_id(id)
@@ -315,14 +316,17 @@ class Collection:
             raise DocumentError(bad[0]["message"], bad[0]["code"], field=bad[0]["field"]).within("Error inserting document", "DOC002")
         return self.schema.normalised(batch)
 
-    def _append(self, batch: DataFrame, place: Callable[[DataFrame, int], DataFrame]) -> list[dict[str, Any]]:
+    def _append(self, batch: DataFrame, place: Callable[[DataFrame, int], DataFrame], batch_of: tuple[str, int] | None = None) -> list[dict[str, Any]]:
         """The files written."""
         made: list[dict[str, Any]] = []
 
         def change(base: DataFrame, m: Manifest) -> dict[str, Any]:
+            if batch_of and m.streams.get(batch_of[0], -1) >= batch_of[1]:
+                return {}
             made[:] = self._write(place(batch, m.next_pos))
             self._unique(base, self.store.frame(parts=made), m)
-            return {"parts": [*m.parts, *made], "next_pos": max((p["hi"] for p in made), default=m.next_pos - STRIDE) + STRIDE}
+            streams = {**m.streams, batch_of[0]: batch_of[1]} if batch_of else m.streams
+            return {"parts": [*m.parts, *made], "next_pos": max((p["hi"] for p in made), default=m.next_pos - STRIDE) + STRIDE, "streams": streams}
 
         try:
             self._commit(change)

@@ -25,7 +25,7 @@ from ..sources.scratch import scratch
 from . import update as U
 from .criteria import matches
 from .query import Query
-from .schema import Schema
+from .schema import PythonRule, Schema
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -337,3 +337,120 @@ _collection("collection_update_many", "SELECT o_orderkey, CASE WHEN o_totalprice
 _collection("collection_delete", f"SELECT {_O} FROM orders WHERE o_orderkey NOT IN ({_FIRST_P}, {_FIRST_F}) AND o_totalprice <= 300000", "orders", ORDER, _removed, "o_orderkey")
 _collection("collection_unique", f"SELECT {_N} FROM nation UNION ALL SELECT 91, 'NATION_6'", "nation", NATION, _constrained, "n_nationkey")
 _collection("collection_reopened", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'Q' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus <> 'F'", "orders", ORDER, _reopened, "o_orderkey")
+_collection(
+    "collection_reopened_constraints", "SELECT n_regionkey, n_name FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 1, 'NEW'", "nation", {"n_regionkey": "int", "n_name": "string"},
+    lambda c, _: _reopened_constraints(c), "n_nationkey",
+)
+
+
+def _reopened_constraints(c: Collection) -> list:
+    c.create_index(["n_regionkey", "n_name"], unique=True)
+    again = Collection(c.spark, c.store.files.root, c.name)
+    _raises("IDX004", lambda: again.insert_one({"n_regionkey": 1, "n_name": "NATION_1"}))
+    again.insert_one({"n_regionkey": 1, "n_name": "NEW"})
+    return Collection(c.spark, c.store.files.root, c.name).find({"n_regionkey": 1})
+
+
+def _told(name: str, sql: str, cols: str, build: Callable[[SparkSession, Callable[[str], DataFrame]], list[tuple]]) -> None:
+    """A query whose rows the engine's own answers are."""
+    _add(name, sql, lambda t: (spark := t("nation").sparkSession).createDataFrame(build(spark, t), cols))
+
+
+def _code_of(run: Callable[[], object]) -> str:
+    try:
+        run()
+    except DocumentError as e:
+        return e.code
+    return "none"
+
+
+REJECTED = [
+    {"$nor": [{"n_name": "x"}]}, {"$where": "1"}, {"n_name": {"$mod": [2, 0]}}, {"n_name": {"$not": {"$eq": "x"}}}, {"n_name": {"$elemMatch": {}}},
+    {"n_name": {}}, {"n_name": {"a": 1}}, {"n_name": ["x"]}, {"$and": [{"n_name": {"$type": "string"}}]}, {"n_name": {"$regex": "("}}, {"n_name": {"$options": "i"}},
+]
+_told(
+    "rejected_criteria", f"SELECT CAST(i AS INT) AS place, 'QUE002' AS code FROM range({len(REJECTED)}) AS r(i)", "place int, code string",
+    lambda spark, t: [(i, _code_of(lambda c=c: Query(c).execute(t("nation")))) for i, c in enumerate(REJECTED)],
+)
+UNDONE = [({"$mul": {"n_nationkey": 2}}, "DOC006"), ({"$pop": {"n_nationkey": 1}}, "DOC006"), ({"$rename": {"a": "b"}}, "DOC006"), ({"$set": {"_id": "x"}}, "DOC006"), ({"$inc": {"n_name": 1}}, "DOC003"), ({"$inc": {"n_nationkey": "1"}}, "DOC003"), ({"a.b": 1}, "DOC006"), ("x", "DOC009"), ({"$push": {"n_name": 1}}, "DOC006")]
+_told(
+    "rejected_updates", "SELECT * FROM (VALUES " + ", ".join(f"(CAST({i} AS INT), '{code}')" for i, (_, code) in enumerate(UNDONE)) + ") AS v(place, code)", "place int, code string",
+    lambda spark, t: [(i, _code_of(lambda u=u: U.apply(t("nation"), u))) for i, (u, _) in enumerate(UNDONE)],
+)
+_add(
+    "validate_message", f"SELECT o_orderkey, CASE WHEN x < 50000 THEN 'too cheap' END AS message FROM {ORDERS_M}",
+    lambda t: (o := _orders_m(t)).select("o_orderkey", Schema({"x": {"type": "number", "validate": {"min": 50000, "message": "too cheap"}}}, strict=False).errors(o)["message"].alias("message")),
+)
+_validated("validate_constructor", _orders_m, Schema({"o_orderkey": {"type": int}, "m": {"type": str, "required": True}, "x": {"type": float}}, strict=False), "o_orderkey", f"SELECT o_orderkey, CASE WHEN m IS NULL THEN 'SCH002' END AS code FROM {ORDERS_M}")
+_validated("validate_wrong_type", lambda t: _event_docs(t).withColumn(DOC, F.when(F.col("event_id") % 2 == 0, F.col(DOC)).otherwise(F.to_variant_object(F.struct(F.lit(7).alias("event_type"))))), Schema({"event_type": {"type": "string"}}, strict=False), "event_id", "SELECT event_id, CASE WHEN event_id % 2 = 1 THEN 'SCH003' END AS code FROM events")
+_validated("validate_python_rule", lambda t: t("customer"), Schema({"c_acctbal": {"type": "number", "validate": {"custom": PythonRule(lambda v: v >= 0 or "in debt")}}}, strict=False), "c_custkey", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'SCH006' END AS code FROM customer")
+_add(
+    "underscored_fields_go", "SELECT n_nationkey, n_name FROM nation",
+    lambda t: Schema({"n_nationkey": {"type": "number"}}, strict=False).normalised(t("nation").select("n_nationkey", "n_name", F.lit(1).alias("_hidden"))),
+)
+_add(
+    "timestamps", "SELECT n_nationkey, n_nationkey < 5 AS kept, true AS made, true AS changed FROM nation",
+    lambda t: Schema({"n_nationkey": {"type": "number"}}, timestamps=True)
+    .normalised(t("nation").select("n_nationkey", F.when(F.col("n_nationkey") < 5, F.lit("2001-02-03").cast("timestamp")).alias("_createdAt")))
+    .select("n_nationkey", (F.year("_createdAt") == 2001).alias("kept"), F.col("_createdAt").isNotNull().alias("made"), (F.col("_updatedAt") >= F.lit("2020-01-01")).alias("changed")),
+)
+_add("sparse_unique", f"SELECT m AS k0, o_orderpriority AS k1, count(*) AS n FROM {ORDERS_M} WHERE m IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1", lambda t: X.violations(_orders_m(t), X.definition(["m", "o_orderpriority"], True, sparse=True)))
+
+
+def _json(t) -> DataFrame:
+    """Documents written as JSON lines, compressed, and read back."""
+    df = t("customer")
+    path = f"{scratch(df.sparkSession)}/customers"
+    D.write_json(D.from_typed(df), path)
+    return D.read_json(df.sparkSession, path).select(*[F.variant_get(DOC, f"$.{c}", k).alias(c) for c, k in (("c_custkey", "long"), ("c_name", "string"), ("c_acctbal", "double"))])
+
+
+_add("json_roundtrip", "SELECT c_custkey, c_name, c_acctbal FROM customer", _json)
+
+
+def _optional(c: Collection, df: DataFrame) -> list:
+    """A null without a default is not stored."""
+    c.delete_many()
+    c.schema = Schema({"k": {"type": "number"}, "a": {"type": "string"}, "b": {"type": "string", "default": "x"}})
+    c.insert_many([{"k": 1, "a": None, "b": None}, {"k": 2, "a": "y"}])
+    return [{"k": d["k"], "fields": ",".join(sorted(set(d) - {"_id"}))} for d in c.find()]
+
+
+_collection("optional_null_is_not_stored", "SELECT * FROM (VALUES (1, 'b,k'), (2, 'a,b,k')) AS v(k, fields)", "nation", {"k": "int", "fields": "string"}, _optional, "n_nationkey")
+
+
+def _own_ids(c: Collection, _: DataFrame) -> list:
+    c.schema = Schema({"_id": {"type": "string", "default": lambda get: F.concat(F.lit("N-"), get("k").cast("int").cast("string")), "validate": {"pattern": r"^N-\d+$"}}, "k": {"type": "number"}})
+    c.insert_many([{"k": 7}, {"_id": "N-12", "k": 8}])
+    _raises("DOC008", lambda: c.insert_one({"_id": "other", "k": 9}))
+    return [{"id": d["_id"], "k": d["k"]} for d in (c.find_by_id("N-7"), c.find_by_id("N-12"))]
+
+
+_collection("own_id_format", "SELECT * FROM (VALUES ('N-7', 7), ('N-12', 8)) AS v(id, k)", "nation", {"id": "string", "k": "int"}, _own_ids, "n_nationkey")
+
+
+def _fresh_ids(c: Collection, df: DataFrame) -> DataFrame:
+    d = c.df()
+    return d.agg(F.count("*").alias("n"), F.countDistinct("_id").alias("ids"), F.bool_and(ids.is_hex_id(F.col("_id"))).alias("valid"))
+
+
+_collection("fresh_ids", "SELECT count(*) AS n, count(*) AS ids, true AS valid FROM orders", "orders", {}, _fresh_ids, "o_orderkey")
+
+
+def _databases(spark: SparkSession, t) -> list[tuple]:
+    root = scratch(spark)
+    db = Database(spark, "names", root)
+    out = [("before", _code_of(lambda: db.collection("x")))]
+    db.initialize()
+    for n in ("b", "a:1", "a"):
+        db.collection(n).insert_one({"k": n})
+    out += [("list", ",".join(db.list_collections())), ("dropped", str(db.drop_collection("a:1"))), ("again", str(db.drop_collection("a:1")))]
+    out += [("reopened", ",".join(Database(spark, "names", root).initialize().list_collections())), ("kept", db.collection("a").find()[0]["k"]), ("bad", _code_of(lambda: db.collection("../x")))]
+    return out
+
+
+_told("databases", "SELECT * FROM (VALUES ('before', 'DB011'), ('list', 'a,a:1,b'), ('dropped', 'True'), ('again', 'False'), ('reopened', 'a,b'), ('kept', 'a'), ('bad', 'COL003')) AS v(step, said)", "step string, said string", _databases)
+_told(
+    "error_fields", "SELECT 'DOC002' AS code, 'DB007' AS cause, true AS timed, 'DocumentError' AS name", "code string, cause string, timed boolean, name string",
+    lambda spark, t: [(lambda e: (e["code"], e["details"]["cause"], "timestamp" in e, e["name"]))(DocumentError("x", "DB007").within("y", "DOC002").to_dict())],
+)

@@ -104,12 +104,14 @@ class Files:
 
 @dataclass
 class Manifest:
-    """parts: the files, each with its folder, name, number of files beside it, rows, least and greatest position, bytes."""
+    """parts: the files, each with its folder, name, number of files beside it, rows, least and greatest position, bytes.
+    streams: the last batch of each stream."""
 
     version: int = 0
     parts: list[dict[str, Any]] = field(default_factory=list)
     next_pos: int = 0
     indexes: list[dict[str, Any]] = field(default_factory=list)
+    streams: dict[str, int] = field(default_factory=dict)
     created: str = ""
     updated: str = ""
 

@@ -28,10 +28,11 @@ def find(stream: DataFrame, criteria: Any = None) -> DataFrame:
 
 
 def insert(stream: DataFrame, into: Collection, checkpoint: str, **trigger: Any) -> StreamingQuery:
-    """Inserts every micro-batch; each is one commit."""
+    """Inserts every micro-batch; each is one commit, which notes the batch: one that comes again after a failure is
+    passed over. The checkpoint names the stream."""
 
-    def batch(df: DataFrame, _: int) -> None:
-        into.insert_df(df)
+    def batch(df: DataFrame, number: int) -> None:
+        into.insert_df(df, (checkpoint.rstrip("/"), number))
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(**trigger) if trigger else writer).start()

@@ -50,3 +50,13 @@ def test_stream_into_collection(spark, folder):
     q = ingest.insert(ingest.find(stream, {"a": {"$exists": True}}), c, f"{folder}/check", availableNow=True)
     q.awaitTermination(60)
     assert c.count() == 2 and c.count({"o.b.0": 1}) == 1
+
+
+def test_a_batch_that_comes_again_is_passed_over(spark, tmp_path):
+    c = Database(spark, "again", str(tmp_path)).initialize().collection("c")
+    df = spark.createDataFrame([(1,), (2,)], "k int")
+    assert c.insert_df(df, ("s", 0)) == 2 and c.insert_df(df, ("s", 0)) == 0 and c.insert_df(df, ("other", 0)) == 2
+    assert c.insert_df(df, ("s", 1)) == 2 and c.count() == 6
+    c.delete_many({"k": 1})
+    assert c.insert_df(df, ("s", 1)) == 0 and c.count() == 3
+    assert {n for n, folder in c.store.files.list() if folder} >= {p["folder"] for p in c.store.manifest().parts}
