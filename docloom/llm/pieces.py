@@ -55,11 +55,13 @@ class _Numbers(dict):
 
 
 class ChunkTable:
-    """Distinct chunks with their ids and decoded strings."""
+    """Distinct chunks with their ids and, with `decoded`, their decoded strings."""
 
-    def __init__(self, model: bytes, most: int = 400_000, most_chars: int = 8 << 20):
+    def __init__(self, model: bytes, most: int = 800_000, most_chars: int = 8 << 20, decoded: bool = True):
         import sentencepiece
 
+        self.decoded = decoded
+
         self.lib = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.most, self.most_chars = most, most_chars
         if any(MARK in self.lib.id_to_piece(i).lstrip(MARK) for i in range(self.lib.get_piece_size())):
@@ -81,7 +83,8 @@ class ChunkTable:
         self.chars += sum(map(len, new))
         ids = self.lib.encode([w.replace(MARK, " ") for w in new], num_threads=1)
         ids = [x if w else self.lone for w, x in zip(new, ids)]
-        self.said += [w if w == t else t for w, t in zip(new, self.lib.decode(ids))]
+        if self.decoded:
+            self.said += [w if w == t else t for w, t in zip(new, self.lib.decode(ids))]
         n = np.fromiter(map(len, ids), np.int32, len(ids))
         self.start.frombytes((len(self.flat) + np.cumsum(n, dtype=np.int64) - n).tobytes())
         self.count.frombytes(n.tobytes())
@@ -119,14 +122,15 @@ class ChunkTable:
         return " ".join([said[index[w]] for w in words])
 
 
-_tables: dict[str, ChunkTable] = {}
+_tables: dict[tuple[str, bool], ChunkTable] = {}
 
 
-def chunk_table(model: bytes) -> ChunkTable:
-    """This process's table for a model."""
-    key = hashlib.md5(model).hexdigest()
+def chunk_table(model: bytes, decoded: bool = True) -> ChunkTable:
+    """This process's table for a model; one at a time."""
+    key = hashlib.md5(model).hexdigest(), decoded
     if key not in _tables:
-        _tables[key] = ChunkTable(model)
+        _tables.clear()
+        _tables[key] = ChunkTable(model, decoded=decoded)
     return _tables[key]
 
 
@@ -173,7 +177,7 @@ def count_ids(rows: DataFrame, model_path: str, text_col: str = "text", out: str
     schema = ", ".join(f"`{n}` {'long' if n == out else rows.schema[n].dataType.simpleString()}" for n in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = chunk_table(model)
+        table = chunk_table(model, decoded=False)
         for b in batches:
             texts = b.column(at).to_pylist()
             counts = [table.counts([marked_words(t or "") for t in texts[lo:hi]]) for lo, hi in blocks([t or "" for t in texts])]
