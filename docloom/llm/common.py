@@ -8,6 +8,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -15,8 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
-#: Texts in a batch.
+#: Texts in a batch, and the bytes from which a batch has fewer.
 TEXTS = 1000
+BYTES = 8 << 20
 _roots: dict[str, tuple] = {}
 
 
@@ -123,20 +125,28 @@ def ship(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, run, schema, rows: int | None = None) -> DataFrame:
-    """df.mapInArrow by a function of this package; with `rows`, it gets batches of so many rows at most, which bounds
-    what a worker holds of long texts."""
+    """df.mapInArrow by a function of this package; with `rows`, it gets batches of so many rows and of BYTES at most, or
+    one row, which bounds what a worker holds of long texts."""
     ship(df.sparkSession)
 
     def whole(batches):
-        cut = batches if rows is None else (b.slice(i, rows) for b in batches for i in range(0, max(1, b.num_rows), rows))
         try:
-            yield from run(cut)
+            yield from run(batches if rows is None else (s for b in batches for s in slices(b, rows)))
         finally:
             give_back()
 
     return df.mapInArrow(whole, schema)
 
 
+def slices(b: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    for i in range(0, max(1, b.num_rows), rows):
+        part = b.slice(i, rows)
+        if part.num_rows > 1 and part.nbytes > BYTES:
+            yield from slices(part, (part.num_rows + 1) // 2)
+        else:
+            yield part
+
+
 def give_back() -> None:
     """A worker waits for its next task with no more memory than it uses."""
     pa.default_memory_pool().release_unused()

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tests.conftest import DATA
@@ -12,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from docloom.llm import licences, packing, pieces, quality, queries, token_counts, toxicity
+from docloom.llm import common, licences, packing, pieces, quality, queries, token_counts, toxicity
 from docloom.llm.labels import remainder, remainder_of
 from docloom.llm.licence_texts import TEMPLATES
 from tests.llm.conftest import prose
@@ -355,3 +356,13 @@ def test_licence_query(spark):
     assert len(got) == len(docs)
     for r in docs:
         assert set(filter(None, got[r["doc_id"]].split(","))) == {n for n, t in TEMPLATES if len(t) < 90 and t in r["text"]}
+
+
+def test_batches_are_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(common, "BYTES", 4000)
+    texts = ["x" * n for n in (10, 9000, 20, 20, 3000, 3000, 500, *[1] * 20)]
+    b = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], ["i", "t"])
+    parts = list(common.slices(b, 10))
+    assert pa.Table.from_batches(parts).to_pydict() == pa.Table.from_batches([b]).to_pydict()
+    assert all(p.num_rows == 1 or p.num_rows <= 10 and p.nbytes <= 4000 for p in parts)
+    assert [p.num_rows for p in common.slices(b.slice(0, 0), 10)] == [0]
