@@ -34,6 +34,8 @@ from .common import TEXTS, Staged, as_bytes, id_and_text, map_arrow
 from .suffix_sort import suffix_array
 
 _BLOCK = 1 << 20
+#: Symbols of texts whose anchors are found at once.
+_GROUP = 1 << 17
 _WORD = re.compile(rb"\S+")
 _LOW = np.uint64(0xFFFFFFFF)
 _HIGH = ~_LOW
@@ -104,12 +106,109 @@ def anchors_of(text: bytes, length: int, roller: _Roller) -> tuple[np.ndarray, n
     return tuple(np.concatenate(x) * unit for x in zip(*out))
 
 
-def _hashed(text: bytes) -> bytes:
-    """A text as the 8-byte hashes of its words."""
-    return b"".join(map(xxhash.xxh64_digest, text.split()))
+def anchors_of_all(texts: list[bytes], length: int, roller: _Roller) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, anchor position, first window, last window) for all texts, in order: short texts lie side by side in one
+    array, and windows that cross from one to the next are left out."""
+    unit, n = roller.unit, length // roller.unit
+    w = n - roller.k + 1
+    out: list[tuple] = []
+    group: list[int] = []
+    size = 0
+
+    def close() -> None:
+        data = np.frombuffer(b"".join([texts[i] for i in group]), np.uint8 if unit == 1 else "<u8")
+        h = roller(data)
+        named = _LOW - (_least((h & _HIGH) | (_LOW - np.arange(len(h), dtype=np.uint64)), w) & _LOW)
+        sizes = np.array([len(texts[i]) // unit for i in group])
+        starts, windows = np.cumsum(sizes) - sizes, sizes - n + 1
+        at = np.repeat(starts - (np.cumsum(windows) - windows), windows) + np.arange(int(windows.sum()))
+        named = named[at].astype(np.int64)
+        first = np.flatnonzero(np.concatenate(([True], named[1:] != named[:-1])))
+        last = np.concatenate((first[1:] - 1, [len(named) - 1]))
+        base = np.repeat(starts, windows)[first]
+        out.append((np.repeat(group, windows)[first], *((x - base) * unit for x in (named[first], at[first], at[last]))))
+        group.clear()
+
+    for i, t in enumerate(texts):
+        if len(t) < length:
+            continue
+        if len(t) > _GROUP * unit:
+            if group:
+                close()
+                size = 0
+            own = anchors_of(t, length, roller)
+            out.append((np.full(len(own[0]), i), *own))
+            continue
+        group.append(i)
+        size += len(t) // unit
+        if size >= _GROUP:
+            close()
+            size = 0
+    if group:
+        close()
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (none, none, none, none)
+
+
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+_IS_BLANK = np.zeros(256, bool)
+_IS_BLANK[[32, *range(9, 14)]] = True
 
 
-_i64 = lambda x: x - (1 << 64) if x >> 63 else x
+class _WordHasher:
+    """Texts as the 8-byte hashes of their words: the same polynomial as of k-grams, read off its prefix sums, so a
+    word's hash doesn't depend on where it stands."""
+
+    def __init__(self):
+        self.roller = _Roller(1)
+
+    def hashes(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, hash) of every word."""
+        r, n = self.roller, len(data)
+        r.powers(n)
+        s = np.zeros(n + 1, np.uint64)
+        np.cumsum(r.table[data] * r.up[:n], out=s[1:])
+        blank = np.concatenate(([True], _IS_BLANK[data], [True]))
+        start, end = np.flatnonzero(~blank[1:-1] & blank[:-2]), np.flatnonzero(~blank[1:-1] & blank[2:]) + 1
+        h = (s[end] - s[start]) * r.down[start]
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+        return start, h
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        out: list[bytes] = []
+        group: list[bytes] = []
+        size = 0
+
+        def close() -> None:
+            start, h = self.hashes(np.frombuffer(b" ".join(group), np.uint8))
+            ends = np.searchsorted(start, np.cumsum([len(t) + 1 for t in group])).tolist()
+            out.extend(h[a:b].tobytes() for a, b in zip([0, *ends], ends))
+            group.clear()
+
+        for t in texts:
+            if len(t) <= _GROUP:
+                group.append(t)
+                size += len(t)
+            if group and (size >= _GROUP or len(t) > _GROUP):
+                close()
+                size = 0
+            if len(t) > _GROUP:
+                out.append(b"".join(self.hashes(np.frombuffer(p, np.uint8))[1].tobytes() for p in _cut_at_blanks(t)))
+        if group:
+            close()
+        return out
+
+
+def _cut_at_blanks(text: bytes) -> Iterator[bytes]:
+    """A text in parts of about _GROUP bytes, none of which ends within a word."""
+    at = 0
+    while at < len(text):
+        stop = _BLANK.search(text, min(at + _GROUP, len(text)))
+        end = stop.start() if stop else len(text)
+        yield text[at:end]
+        at = end
 
 
 def _shared(a: bytes, b: bytes) -> int:
@@ -196,22 +295,20 @@ def repeated_starts(segments: list[tuple[bytes, int, int, int]], length: int) ->
 def _anchors(rows: DataFrame, length: int, k: int, unit: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller = _Roller(k, unit)
+        hashed = _WordHasher()
         digest = xxhash.xxh3_64_intdigest
         for b in batches:
-            counts, cols = [], [[], [], []]
-            h, g = [], []
-            for t in as_bytes(b.column(2)):
-                t = t if unit == 1 else _hashed(t)
-                pos, lo, hi = anchors_of(t, length, roller)
-                counts.append(len(pos))
-                if len(pos):
-                    for c, x in zip(cols, (pos, pos - lo, pos - hi)):
-                        c.append(x)
-                    h += [_i64(digest(t[p : p + k])) for p in pos.tolist()]
-                    g += [_i64(digest(t[x : y + length], p - x)) for p, x, y in zip(pos.tolist(), lo.tolist(), hi.tolist())]
-            if h:
-                at = np.repeat(np.arange(len(counts)), counts)
-                yield pa.record_batch([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(np.concatenate(cols[0])), pa.array(np.concatenate(cols[1]), pa.int32()), pa.array(np.concatenate(cols[2]), pa.int32()), pa.array(h, pa.int64()), pa.array(g, pa.int64())], ["doc_id", "t", "pos", "far", "near", "h", "g"])
+            texts = as_bytes(b.column(2)) if unit == 1 else hashed(as_bytes(b.column(2)))
+            at, pos, lo, hi = anchors_of_all(texts, length, roller)
+            if len(at):
+                h, g = [], []
+                for i, p, x, y in zip(at.tolist(), pos.tolist(), lo.tolist(), hi.tolist()):
+                    t = texts[i]
+                    h.append(digest(t[p : p + k]))
+                    g.append(digest(t[x : y + length], p - x))
+                named = pa.array(at)
+                cols = [pa.array(pos), pa.array((pos - lo).astype(np.int32)), pa.array((pos - hi).astype(np.int32)), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (h, g))]
+                yield pa.record_batch([b.column(0).take(named), b.column(1).take(named), *cols], ["doc_id", "t", "pos", "far", "near", "h", "g"])
 
     return map_arrow(rows, run, "doc_id long, t long, pos long, far int, near int, h long, g long", TEXTS)
 
@@ -222,6 +319,7 @@ def _segments(wanted: DataFrame, length: int, unit: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple] = set()
+        hashed = _WordHasher()
         for b in batches:
             new = []
             for i, key in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
@@ -232,7 +330,7 @@ def _segments(wanted: DataFrame, length: int, unit: int) -> DataFrame:
                 b = b.take(pa.array(new, pa.int64()))
             at = b.column(1)
             each = at.flatten()
-            texts = [t if unit == 1 else _hashed(t) for t in as_bytes(b.column(0))]
+            texts = as_bytes(b.column(0)) if unit == 1 else hashed(as_bytes(b.column(0)))
             owner = np.repeat(np.arange(len(texts)), at.value_lengths().to_numpy(zero_copy_only=False))
             pos, far, near = (each.field(n).to_numpy(zero_copy_only=False) for n in ("pos", "far", "near"))
             size = 0
@@ -407,9 +505,16 @@ def _runs(ranges: list[tuple[int, int]], length: int) -> list[list[int]]:
     return runs
 
 
-def _word_runs(ranges, words: int) -> list[list[int]]:
-    """Of ranges of window starts among 8-byte word hashes, the runs of words."""
-    return _runs([(-(-r["lo"] // 8), r["hi"] // 8) for r in ranges or ()], words)
+def _in_words(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges of window starts among 8-byte word hashes, as ranges of words."""
+    return [(-(-lo // 8), hi // 8) for lo, hi in ranges]
+
+
+def _ranges(column) -> list[list[tuple[int, int]]]:
+    """Each row's ranges (lo, hi) of an Arrow column of lists; none for a null."""
+    flat, ends = column.flatten(), np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+    both = list(zip(flat.field("lo").to_pylist(), flat.field("hi").to_pylist()))
+    return [both[a:b] for a, b in zip([0, *ends], ends)]
 
 
 def _cut(rows: DataFrame, length: int, words: int) -> DataFrame:
@@ -418,9 +523,9 @@ def _cut(rows: DataFrame, length: int, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes, removed, spans, texts, where, passages, covered = [], [], [], [], [], [], []
-            for t, ranges, worded in zip(as_bytes(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist()):
+            for t, ranges, worded in zip(as_bytes(b.column(1)), _ranges(b.column(2)), _ranges(b.column(3))):
                 sizes.append(len(t))
-                runs = _runs([(r["lo"], r["hi"]) for r in ranges or ()], length)
+                runs = _runs(ranges, length)
                 removed.append(sum(y - x for x, y in runs))
                 spans.append(len(runs))
                 at, left = 0, []
@@ -430,7 +535,7 @@ def _cut(rows: DataFrame, length: int, words: int) -> DataFrame:
                 left.append(t[at:])
                 texts.append(b"".join(left) if runs else t)
                 where.append([{"start": x, "end": y} for x, y in runs])
-                said = _word_runs(worded, words)
+                said = _runs(_in_words(worded), words)
                 passages.append(len(said))
                 covered.append(sum(y - x for x, y in said))
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -481,14 +586,14 @@ def cut_texts(spark: SparkSession, docs: DataFrame, length: int = 400, words: in
         for b in batches:
             cols = [b.column(i) for i in range(last)]
             texts = cols[at].to_pylist()
-            for i, (ranges, worded) in enumerate(zip(b.column(last).to_pylist(), b.column(last + 1).to_pylist())):
+            for i, (ranges, worded) in enumerate(zip(_ranges(b.column(last)), _ranges(b.column(last + 1)))):
                 if ranges or worded:
                     keep = np.ones(len(raw := texts[i].encode()), bool)
-                    for x, y in _runs([(r["lo"], r["hi"]) for r in ranges or ()], length):
+                    for x, y in _runs(ranges, length):
                         keep[x:y] = False
                     place = [m.span() for m in _WORD.finditer(raw)] if worded else []
-                    for r in worded or ():
-                        keep[place[-(-r["lo"] // 8)][0] : place[r["hi"] // 8 + words - 1][1]] = False
+                    for x, y in _in_words(worded):
+                        keep[place[x][0] : place[y + words - 1][1]] = False
                     texts[i] = np.frombuffer(raw, np.uint8)[keep].tobytes().decode("utf-8", "ignore")
             cols[at] = pa.array(texts, cols[at].type)
             yield pa.record_batch(cols, names=[f.name for f in schema])

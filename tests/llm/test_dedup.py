@@ -267,3 +267,34 @@ def test_long_texts_are_read_in_blocks(monkeypatch):
     whole = named()
     monkeypatch.setattr(suffix_dedup, "_BLOCK", 700)
     assert named() == whole and len(whole) == len(text) - 39
+
+
+@pytest.mark.parametrize("unit", [1, 8])
+def test_anchors_of_texts_side_by_side(monkeypatch, unit):
+    rng = random.Random(unit)
+    texts = [prose(i, rng.randint(0, 60)).encode() for i in range(40)] + [b"", b"a" * 40, b"ab" * 300, prose(99, 700).encode()]
+    if unit == 8:
+        texts = suffix_dedup._WordHasher()(texts)
+    r = suffix_dedup._Roller(16, unit)
+    want = [(i, *x) for i, t in enumerate(texts) for x in zip(*(c.tolist() for c in suffix_dedup.anchors_of(t, 80, r)))]
+    for group in (1, 50, 300, 1 << 17):
+        monkeypatch.setattr(suffix_dedup, "_GROUP", group)
+        assert list(zip(*(c.tolist() for c in suffix_dedup.anchors_of_all(texts, 80, r)))) == want
+
+
+def test_word_hashes(monkeypatch):
+    """One hash a word, wherever it stands, and none twice among many words."""
+    rng = random.Random(4)
+    texts = [b"", b" ", b"a", b"\xc3\xa9\x85 x", *(b"".join(w.encode() + rng.choice([b" ", b"\n", b" \t", b"\x0b\x0c\r"]) for w in prose(i, rng.randint(0, 50)).split()) for i in range(30)), b"z" * 900, prose(77, 400).encode()]
+    want: dict[bytes, bytes] = {}
+    for group in (1, 64, 500, 1 << 17):
+        monkeypatch.setattr(suffix_dedup, "_GROUP", group)
+        got = suffix_dedup._WordHasher()(texts)
+        for t, h in zip(texts, got):
+            words = t.split()
+            assert len(h) == 8 * len(words)
+            for i, w in enumerate(words):
+                assert want.setdefault(w, h[8 * i : 8 * i + 8]) == h[8 * i : 8 * i + 8]
+    many = sorted({prose(i, 1) for i in range(40000)} | {f"w{i}" for i in range(60000)})
+    h = suffix_dedup._WordHasher()([" ".join(many).encode()])[0]
+    assert len({*want.values()}) == len(want) and len(set(np.frombuffer(h, "<u8").tolist())) == len(many)
