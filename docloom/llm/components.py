@@ -8,6 +8,7 @@ sides, so Spark may split a hub's partition.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,3 +39,20 @@ def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     if roots is None:
         return spark.createDataFrame([], "node long, root long")
     return roots
+
+
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the links found by one task, those that join what was apart."""
+    up: dict[int, int] = {}
+    keep = []
+    for i, (a, b) in enumerate(zip(u.tolist(), v.tolist())):
+        for x in (a, b):
+            up.setdefault(x, x)
+        while up[a] != a:
+            up[a] = a = up[up[a]]
+        while up[b] != b:
+            up[b] = b = up[up[b]]
+        if a != b:
+            up[b] = a
+            keep.append(i)
+    return u[keep], v[keep]

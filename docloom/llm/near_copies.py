@@ -13,6 +13,8 @@ in separate tasks.
 Defined results: words are as in `simhash`; a text of fewer words than a shingle is one shingle; null texts are empty,
 and empty texts are copies of one another. Of a component the row with the smallest id stays, rows without an id after
 all others, then the smallest digest of the text; rows that repeat id and text are one document and share its decision.
+
+The pipeline's stage has its candidates from `wide_simhash`; the exact check and the choice of what stays are these.
 """
 
 from __future__ import annotations
@@ -171,6 +173,16 @@ def shingle_links(spark: SparkSession, distinct: DataFrame, texts: DataFrame, le
     likely = kept.put(map_arrow(met.select("s", "sketch", "size", "b", "k", "p", "q"), prune, "s long, b int, k long, p int, q int", TEXTS), "near-likely")
     pairs = ["b", "k", "p", "q"]
     some = kept.put(likely.join(_alone(likely, pairs), pairs).select("s", *pairs), "near-dealt")
+    links = exact_links(spark, some, distinct, texts, least, width)
+    for old in (filed, groups, likely, some):
+        kept.drop(old)
+    return links
+
+
+def exact_links(spark: SparkSession, some: DataFrame, distinct: DataFrame, texts: DataFrame, least: float, width: int) -> DataFrame:
+    """some: rows (s, b, k, p, q), sets that are compared where the other four are equal; distinct: (s, digest), others
+    not read. Links (u, v) that connect all pairs of a group at `least` or more, by the sets themselves."""
+    kept = Staged(spark)
     wanted = distinct.join(some.select("s").distinct(), "s", "left_semi").select("digest", "s")
     # copies of a text are one before they are shuffled
     held = texts.groupBy("digest").agg(F.first("text").alias("text")).join(wanted, "digest").select("s", "text")
@@ -205,8 +217,7 @@ def shingle_links(spark: SparkSession, distinct: DataFrame, texts: DataFrame, le
 
     dealt = some.join(sets, "s").repartition("b", "k", "p", "q").sortWithinPartitions("b", "k", "p", "q")
     links = kept.put(map_arrow(dealt.select("s", "grams", "b", "k", "p", "q"), run, "u long, v long", TEXTS), "near-links")
-    for old in (filed, groups, likely, some, sets):
-        kept.drop(old)
+    kept.drop(sets)
     return links
 
 
@@ -234,12 +245,22 @@ def keep_one(spark: SparkSession, docs: DataFrame, least: float = 0.8, width: in
     rows = kept.put(map_arrow(named, run, "doc_id long, digest string, s long, keys array<long>, sketch binary, size int", TEXTS), "near-rows")
     distinct = kept.put(rows.groupBy("s").agg(*[F.first(c).alias(c) for c in ("keys", "sketch", "size")], F.min("digest").alias("digest")), "near-distinct")
     links = shingle_links(spark, distinct, named.select("digest", "text"), least, width)
+    out = stay(spark, docs, rows, links, id_col, text_col)
+    for old in (rows, distinct, links):
+        kept.drop(old)
+    return out
+
+
+def stay(spark: SparkSession, docs: DataFrame, rows: DataFrame, links: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """rows: (doc_id, digest, s) of docs; links: (u, v) between sets. The rows of docs that stay."""
+    kept = Staged(spark)
+    digest = F.sha2(F.coalesce(docs[text_col].cast("string"), F.lit("")), 256)
     roots = connected_components(spark, links)
     placed = kept.put(rows.select("doc_id", "digest", "s").join(roots.withColumnRenamed("node", "s"), "s", "left").select("doc_id", "digest", F.coalesce("root", "s").alias("root")), "near-placed")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("digest").alias("d")))
     best = kept.put(placed.groupBy("root").agg(first.alias("w")), "near-best")
     same = F.col("doc_id").eqNullSafe(F.col("w.i")) & (F.col("digest") == F.col("w.d"))
     gone = kept.put(placed.join(best, "root").where(~same).select(F.col("doc_id").alias("__gone"), F.col("digest").alias("__text")).distinct(), "near-gone")
-    for old in (rows, distinct, links, roots, placed, best):
+    for old in (roots, placed, best):
         kept.drop(old)
     return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]) & (digest == gone["__text"]), "left_anti")

@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from . import near_copies
+from . import wide_simhash
 from .common import TEXTS, Staged, as_bytes, id_and_text, map_arrow
-from .components import connected_components
+from .components import connected_components, forest
 
 SEED = 42
 _ROWS = 1 << 15
@@ -128,23 +128,6 @@ def _group_links(key: np.ndarray, fps: np.ndarray, radius: int, small: int = 48)
     return (np.concatenate(us), np.concatenate(vs)) if us else (fps[:0], fps[:0])
 
 
-def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the links found by one task, those that join what was apart."""
-    up: dict[int, int] = {}
-    keep = []
-    for i, (a, b) in enumerate(zip(u.tolist(), v.tolist())):
-        for x in (a, b):
-            up.setdefault(x, x)
-        while up[a] != a:
-            up[a] = a = up[up[a]]
-        while up[b] != b:
-            up[b] = b = up[up[b]]
-        if a != b:
-            up[b] = a
-            keep.append(i)
-    return u[keep], v[keep]
-
-
 def hamming_links(spark: SparkSession, distinct: DataFrame, radius: int = 4, tile: int = 2048) -> DataFrame:
     """distinct: one row for each fingerprint fp. Links (u, v) that connect all pairs at `radius` bits or fewer."""
     n = distinct.count()
@@ -170,7 +153,7 @@ def hamming_links(spark: SparkSession, distinct: DataFrame, radius: int = 4, til
         u_all, v_all, held = [], [], 0
 
         def flush() -> pa.RecordBatch:
-            u, v = _forest(np.concatenate(u_all), np.concatenate(v_all))
+            u, v = forest(np.concatenate(u_all), np.concatenate(v_all))
             return pa.record_batch([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
         def found(k: np.ndarray, f: np.ndarray) -> int:
@@ -222,11 +205,11 @@ def keep_least(spark: SparkSession, docs: DataFrame, radius: int = 4, width: int
     own id and fingerprint. Rows without an id stay only where their component has none; rows that repeat an id in one
     component stay together.
 
-    With `least`, rows link where their sets of shingles have this Jaccard similarity or more, whatever their
-    fingerprints. 64 bits can't decide that: at 0.8 two texts differ in 9 bits on average and in up to 17, and of
-    unrelated pairs one in 10^4 is that near. Min-hash bands find those candidates (near_copies)."""
+    With `least`, rows link where their sets of shingles have this Jaccard similarity or more. 64 bits can't decide that:
+    at 0.8 two texts differ in 9 bits on average and in up to 17, and of unrelated pairs one in 10^4 is that near. So
+    candidates are those of a longer fingerprint, and the sets themselves are compared after it (wide_simhash)."""
     if least is not None:
-        return near_copies.keep_one(spark, docs, least, width, id_col, text_col)
+        return wide_simhash.keep_one(spark, docs, least, width, id_col, text_col)
     decided = near_dedup(spark, docs, radius, width, id_col, text_col)
     lost = decided.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
     gone = Staged(spark).put(lost.select(F.col("doc_id").alias("__gone"), F.col("fp").alias("__of")).distinct(), "simhash-gone")
